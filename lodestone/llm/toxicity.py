@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A feature is the presence of a character n-gram (bytes of the UTF-8 text, A-Z lower-cased, n of ``SIZES``), hashed to
-``2**BITS`` buckets. Its value is the log of the ratio of the smoothed shares of toxic and of other training documents
+A feature is the presence of a character n-gram (bytes of the UTF-8 text, n of ``SIZES``; A-Z lower-cased, all other
+ASCII but letters and digits made spaces, so that n-grams see where words begin), hashed to ``2**BITS`` buckets. Its value is the log of the ratio of the smoothed shares of toxic and of other training documents
 that hold it, counted over all training rows on the executors. A logistic regression on these values is fitted on the
 driver, on at most ``MAX_FIT_ROWS`` training rows of each class (those with the smallest hashes of their ids), weighted
 to the true class sizes: once over all buckets, then again over the ``KEPT`` buckets of largest weight, which make the
@@ -24,12 +24,16 @@ from pyspark.sql import types as T
 
 from lodestone.llm import textbuf
 
-SIZES = (4, 5)
+SIZES = (5, 7)
 BITS = 18
 #: Rows of each class on which the regression is fitted, at most.
 MAX_FIT_ROWS = 3000
-KEPT = 4096
+KEPT = 1000
+#: Training documents that a bucket needs to have a value.
+LEAST_DOCUMENTS = 10
 STEPS = 60
+#: Weight of the squared coefficients.
+PENALTY = 1e-3
 
 
 @dataclass
@@ -49,10 +53,17 @@ def buckets(data: np.ndarray, size: int) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int32)
 
 
+def folded() -> np.ndarray:
+    """Byte to byte: A-Z to a-z, bytes that aren't of words to spaces."""
+    t = textbuf.lower_table()
+    t[~textbuf.word_table()[t]] = 32
+    return t
+
+
 def present(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, bucket) pairs, by row; of the wanted buckets only, if given."""
     raw, offsets = textbuf.flat(column)
-    data = textbuf.lower_table()[raw]
+    data = folded()[raw]
     keys = [np.zeros(0, np.int64)]
     for size in SIZES:
         b = buckets(data, size)
@@ -99,7 +110,7 @@ def regress(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.n
     for t in range(1, steps + 1):
         z = np.bincount(row, weights=v[feature] * x, minlength=n) + bias
         g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label) / weight.sum()
-        gv = np.bincount(feature, weights=g[row] * x, minlength=d) + 1e-6 * v
+        gv = np.bincount(feature, weights=g[row] * x, minlength=d) + PENALTY * v
         m, s = 0.9 * m + 0.1 * gv, 0.99 * s + 0.01 * gv * gv
         v -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
         bias -= 0.5 * float(g.sum())
@@ -115,6 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not total.all():
         return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log(prior / (1 - prior))))
     ratio = np.log((held[1] + 1) / (total[1] + 2)) - np.log((held[0] + 1) / (total[0] + 2))
+    ratio[held.sum(axis=0) < LEAST_DOCUMENTS] = 0
 
     chosen = None
     for y in (0, 1):
