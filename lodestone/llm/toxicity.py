@@ -27,7 +27,7 @@ from lodestone.llm import textbuf
 SIZES = (5, 7)
 BITS = 18
 #: Rows of each class on which the regression is fitted, at most.
-MAX_FIT_ROWS = 3000
+MAX_FIT_ROWS = 2000
 KEPT = 1000
 #: Training documents that a bucket needs to have a value.
 LEAST_DOCUMENTS = 10
@@ -64,14 +64,24 @@ def present(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndar
     """Distinct (row, bucket) pairs, by row; of the wanted buckets only, if given."""
     raw, offsets = textbuf.flat(column)
     data = folded()[raw]
+    row_of = None if wanted is not None else np.repeat(np.arange(len(column)), np.diff(offsets))
     keys = [np.zeros(0, np.int64)]
     for size in SIZES:
         b = buckets(data, size)
-        at = np.arange(len(b)) if wanted is None else np.flatnonzero(wanted[b])
-        row = np.searchsorted(offsets, at, "right") - 1
-        ok = at + size <= offsets[row + 1]
-        keys.append((row[ok] << BITS) | b[at[ok]])
-    key = np.unique(np.concatenate(keys))
+        if wanted is None:
+            key = (row_of << BITS) | b
+            ok = np.ones(len(b), dtype=bool)
+            for back in range(1, size):  # n-grams that would run into the next text
+                ok[np.maximum(offsets[1:] - back, offsets[:-1])[np.diff(offsets) > 0]] = False
+            keys.append(key[ok])
+        else:
+            at = np.flatnonzero(wanted[b])
+            row = np.searchsorted(offsets, at, "right") - 1
+            ok = at + size <= offsets[row + 1]
+            keys.append((row[ok] << BITS) | b[at[ok]])
+    key = np.sort(np.concatenate(keys))
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
@@ -100,17 +110,19 @@ def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return total, held
 
 
-def regress(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by Adam on all rows; row and feature are the places of the values that aren't 0."""
+def regress(blocks: list[tuple[np.ndarray, np.ndarray]], value: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression by Adam on all rows; blocks: rows and features of the values that aren't 0, in parts."""
     n, d = len(label), len(value)
     v, m, s = np.zeros(d), np.zeros(d), np.zeros(d)
     share = float((weight * label).sum() / weight.sum())
     bias = float(np.log(share / (1 - share)))
-    x = value[feature]
     for t in range(1, steps + 1):
-        z = np.bincount(row, weights=v[feature] * x, minlength=n) + bias
+        z, gv, u = np.full(n, bias), PENALTY * v, v * value
+        for row, feature in blocks:
+            z += np.bincount(row, weights=u[feature], minlength=n)
         g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label) / weight.sum()
-        gv = np.bincount(feature, weights=g[row] * x, minlength=d) + PENALTY * v
+        for row, feature in blocks:
+            gv = gv + np.bincount(feature, weights=g[row], minlength=d) * value
         m, s = 0.9 * m + 0.1 * gv, 0.99 * s + 0.01 * gv * gv
         v -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
         bias -= 0.5 * float(g.sum())
@@ -133,27 +145,37 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         some = marks.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(max_fit_rows)
         chosen = some if chosen is None else chosen.unionAll(some)
 
+    useful = ratio != 0
+
     def features(batches):
         for batch in batches:
             for part in textbuf.slices(batch, 1):
-                row, b = present(part.column(1))
+                row, b = present(part.column(1), useful)
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b[i:j].astype("<i4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["toxic", "b"])
 
     rows = texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text").select("toxic", "text").mapInArrow(features, "toxic int, b binary").collect()
     if not rows:
         return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log(prior / (1 - prior))))
+    rows = [(r[0], r[1]) for r in rows]
     rows.sort(key=lambda r: (r[0], bytes(r[1])))  # the order in which rows arrive doesn't matter
     y = np.array([r[0] for r in rows], dtype=np.float64)
     weight = np.where(y > 0, total[1] / max(1, y.sum()), total[0] / max(1, (1 - y).sum()))
-    feature = np.concatenate([np.frombuffer(r[1], dtype="<i4") for r in rows]).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) // 4 for r in rows])
-    v, _ = regress(row, feature, ratio, y, weight, STEPS)
-    top = np.sort(np.argsort(-np.abs(v * ratio), kind="stable")[:KEPT])
-    place = np.full(1 << BITS, -1)
-    place[top] = np.arange(len(top))
-    on = place[feature] >= 0
-    v, bias = regress(row[on], place[feature[on]], ratio[top], y, weight, 3 * STEPS)
+    some = np.flatnonzero(useful)
+    place = np.zeros(1 << BITS, dtype=np.int32)
+    place[some] = np.arange(len(some))
+    blocks = []
+    for at in range(0, len(rows), 256):
+        part = [np.frombuffer(r[1], dtype="<i4") for r in rows[at : at + 256]]
+        blocks.append((np.repeat(np.arange(at, at + len(part), dtype=np.int32), [len(p) for p in part]), place[np.concatenate(part)]))
+    del rows
+    v, _ = regress(blocks, ratio[some], y, weight, STEPS)
+    best = np.sort(np.argsort(-np.abs(v * ratio[some]), kind="stable")[:KEPT])
+    top = some[best]
+    place = np.full(len(some), -1, dtype=np.int32)
+    place[best] = np.arange(len(best))
+    blocks = [(row[on], place[feature[on]]) for row, feature in blocks for on in [place[feature] >= 0]]
+    v, bias = regress(blocks, ratio[top], y, weight, 3 * STEPS)
     weights = np.zeros(1 << BITS, dtype=np.float32)
     weights[top] = v * ratio[top]
     return Model(weights, bias)
