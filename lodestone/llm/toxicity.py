@@ -27,7 +27,7 @@ from lodestone.llm import textbuf
 SIZES = (5, 7)
 BITS = 18
 #: Rows of each class on which the regression is fitted, at most.
-MAX_FIT_ROWS = 2000
+MAX_FIT_ROWS = 1500
 KEPT = 1000
 #: Training documents that a bucket needs to have a value.
 LEAST_DOCUMENTS = 10
