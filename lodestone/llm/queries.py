@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, neardup, packing, secrets, shards, shared, toxicity, vectors, warc
+from pyspark.sql import types as T
+
+from lodestone.llm import decontaminate, linededup, neardup, packing, secrets, shards, shared, suffixes, toxicity, vectors, warc
 
 #: The vocabulary file that op7 names, and how the tokenizer splits texts before it merges bytes.
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +27,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cleaned = suffixes.remove_repeats_with(docs, "doc_id", "text", suffixes.LENGTH, suffixes.GRAM, suffixes.MOST, suffixes.sha256_of, T.StringType(), "kept_sha256")
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shards.assign_shards(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -35,6 +44,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = linededup.dedup_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return deduped.select("doc_id", "n_lines", "n_removed", "emptied", F.sha2("deduped", 256).alias("text_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs.where(toxicity.may_learn()), labels.where(toxicity.may_learn()))
@@ -65,5 +79,5 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_sharding, op4_decontaminate, op6_toxicity, op7_packing, op8_warc, op9_secrets, op10_embedding_neardup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_sharding, op4_decontaminate, op5_line_dedup, op6_toxicity, op7_packing, op8_warc, op9_secrets, op10_embedding_neardup)}
 ORACLE_SQL: dict[str, str] = {}

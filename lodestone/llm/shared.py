@@ -26,3 +26,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read from the shared folder from then on."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and kept as a compressed table in the shared folder."""
+    to = new_folder(df.sparkSession, name)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)

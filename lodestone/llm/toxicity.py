@@ -196,3 +196,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", output: str = "scor
 def may_learn(doc_id: str = "doc_id"):
     """The rows outside the held-out fifth: crc32 of the id as text, modulo 5, isn't 0."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 != 0
+
+
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents whose score is below least, with their own columns only."""
+    names = docs.columns
+    aside = docs.toDF(*[f"__in{k}" for k in range(len(names))])
+    at = {n.lower(): f"__in{k}" for k, n in enumerate(names)}
+    kept = score(aside, model, at[text.lower()], "__score").where(F.col("__score") < least)
+    return kept.select(*[F.col(f"__in{k}").alias(n) for k, n in enumerate(names)])
