@@ -31,6 +31,8 @@ MAX_FIT_ROWS = 1500
 KEPT = 1000
 #: Training documents that a bucket needs to have a value.
 LEAST_DOCUMENTS = 10
+#: Buckets whose log-count ratio is nearer to 0 tell nothing and are left out.
+LEAST_RATIO = 0.2
 STEPS = 60
 #: Weight of the squared coefficients.
 PENALTY = 1e-3
@@ -100,13 +102,13 @@ def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         some = np.flatnonzero(held.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(held[0][some], total[0])), pa.array(np.append(held[1][some], total[1]))], names=["bucket", "n0", "n1"])
 
-    rows = labelled.select("toxic", "text").mapInArrow(run, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0"), F.sum("n1")).toPandas()
+    rows = labelled.select("toxic", "text").mapInArrow(run, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0"), F.sum("n1")).toArrow()
+    bucket, n0, n1 = (c.to_numpy() for c in rows.columns)
     held, total = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for b, *n in zip(*(rows[c].to_numpy() for c in rows.columns), strict=True):
-        if b < 0:
-            total[:] = n
-        else:
-            held[:, b] = n
+    at = bucket >= 0
+    held[:, bucket[at]] = n0[at], n1[at]
+    if len(bucket):
+        total[:] = n0[~at][0], n1[~at][0]
     return total, held
 
 
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not total.all():
         return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log(prior / (1 - prior))))
     ratio = np.log((held[1] + 1) / (total[1] + 2)) - np.log((held[0] + 1) / (total[0] + 2))
-    ratio[held.sum(axis=0) < LEAST_DOCUMENTS] = 0
+    ratio[(held.sum(axis=0) < LEAST_DOCUMENTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
 
     chosen = None
     for y in (0, 1):
@@ -154,11 +156,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b[i:j].astype("<i4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["toxic", "b"])
 
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text").select("toxic", "text").mapInArrow(features, "toxic int, b binary").collect()
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text").select("toxic", "text").mapInArrow(features, "toxic int, b binary").toArrow()
+    rows = list(zip(*(c.to_pylist() for c in rows.columns), strict=True))
     if not rows:
         return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log(prior / (1 - prior))))
-    rows = [(r[0], r[1]) for r in rows]
-    rows.sort(key=lambda r: (r[0], bytes(r[1])))  # the order in which rows arrive doesn't matter
+    rows.sort()  # the order in which rows arrive doesn't matter
     y = np.array([r[0] for r in rows], dtype=np.float64)
     weight = np.where(y > 0, total[1] / max(1, y.sum()), total[0] / max(1, (1 - y).sum()))
     some = np.flatnonzero(useful)
