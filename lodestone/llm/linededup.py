@@ -16,8 +16,8 @@ on the input, whether the earlier line stays or not, so of every group of such l
 
 The joins are on hashes of folded lines; only the last join, by document id, brings back the texts.
 
-Nulls stay null, empty texts empty. Of repeated document ids, each row's lines count as that document's, earlier rows
-not being told apart: lines with the same id, place and content aren't removed for each other. Null ids come last.
+Nulls stay null, empty texts empty. Rows of one document id aren't told apart: their lines aren't removed for equal ones
+of each other. Null ids come last.
 A document of which no line is left but that had lines which weren't blank is dropped by ``drop_emptied``.
 """
 
@@ -36,7 +36,9 @@ LEAST_LENGTH = 20
 #: The place of documents without an id: after all others.
 LAST = (1 << 63) - 1
 
-LINES = T.StructType([T.StructField("doc", T.LongType()), T.StructField("line", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+KEYS = ["k0", "k1", "k2", "k3"]
+#: again: an equal line stands further up in the same text.
+LINES = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc", "line", "hash")], T.StructField("again", T.BooleanType()), *[T.StructField(k, T.LongType()) for k in KEYS]])
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,9 +89,13 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 prefix = textbuf.prefix_hashes(data)
                 points = np.flatnonzero((data & 0xC0) != 0x80)
                 long = np.searchsorted(points, end) - np.searchsorted(points, start) >= LEAST_LENGTH
-                keys = half_keys(prefix, points, start[long], end[long])
-                where = np.concatenate([[0], np.cumsum(long * 4)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(number), pa.array(textbuf.span_hashes(prefix, start, end).view(np.int64)), pa.ListArray.from_arrays(pa.array(where), pa.array(keys.ravel().view(np.int64)))], names=LINES.names)
+                keys = np.zeros((len(start), 4), dtype=np.uint64)
+                keys[long] = half_keys(prefix, points, start[long], end[long])
+                h = textbuf.span_hashes(prefix, start, end)
+                order = np.lexsort((number, h, row))
+                again = np.zeros(len(h), dtype=bool)
+                again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(number), pa.array(h.view(np.int64)), pa.array(again), *[pa.array(keys[:, k].view(np.int64), mask=~long) for k in range(4)]], names=LINES.names)
 
     return source.mapInArrow(run, LINES)
 
@@ -109,16 +115,18 @@ def variants(content: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([textbuf.mix(total[-1:] + np.uint64(n)), textbuf.mix(without + np.uint64(n - 1))]), np.arange(-1, n, dtype=np.int32)
 
 
-def removed_lines(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(document, line numbers to remove), and the texts by document that the join used."""
-    lines = shared.written(lines_of(docs, doc_id, text), "lines")
-    at = F.struct("doc", "line")
-    folded = lines.groupBy("hash").agg(F.min(at).alias("first"), *[F.first(F.try_element_at("keys", F.lit(k + 1))).alias(f"k{k}") for k in range(4)])
-    keyed = folded.where("k0 is not null").select("hash", "first", F.explode(F.array(*[f"k{k}" for k in range(4)])).alias("key"))
+def removed_lines(lines: DataFrame, source: DataFrame) -> DataFrame:
+    """(document, line numbers to remove); lines: of lines_of(), source: doc, __text and what else goes with them.
+
+    The texts are taken from source with all its columns, so that the caller's own join on doc can use the same shuffle.
+    """
+    # one number at a time, which keeps these partial sums in hash tables
+    folded = lines.where("not again").groupBy("hash").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), *[F.first(k).alias(k) for k in KEYS])
+    keyed = folded.where("k0 is not null").select("hash", F.explode(F.array(*KEYS)).alias("key")).repartition("key")
     common = keyed.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low != high").select("key")
-    some = keyed.join(common, "key", "left_semi").groupBy("hash").agg(F.min("first").alias("first"))
-    texts = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
-    asked = some.select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "hash").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line", "hash"))).alias("asked"))
+    some = keyed.join(common, "key", "left_semi").select("hash").distinct().join(folded.select("hash", "doc", "line"), "hash")
+    asked = some.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line", "hash"))).alias("asked"))
+    some = some.select("hash", F.struct("doc", "line").alias("first"))
 
     def emit(batches):
         for batch in batches:
@@ -148,7 +156,8 @@ def removed_lines(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, D
                 if size:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2])), pa.concat_arrays(out[3])], names=VARIANTS.names)
 
-    emitted = texts.join(asked.hint("shuffle_hash"), "doc").select("text", "asked").mapInArrow(emit, VARIANTS)
+    joined = source.join(asked.hint("shuffle_hash"), "doc")
+    emitted = joined.select("__text", "asked", *[c for c in source.columns if c not in ("doc", "__text")]).mapInArrow(emit, VARIANTS)
     content = emitted.where("place = -1").select("hash", "content").dropDuplicates(["hash"])
     ranked = emitted.select("variant", "place", "hash")
     by_variant = Window.partitionBy("variant")
@@ -162,9 +171,9 @@ def removed_lines(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, D
     accused = met.withColumn("witness", witness).where(F.col("witness.first") < F.col("first")).select("hash", F.col("witness.hash").alias("by"))
     proven = accused.distinct().join(content, "hash").join(content.select(F.col("hash").alias("by"), F.col("content").alias("earlier")), "by")
     near = proven.where(F.levenshtein("content", "earlier", 1) >= 0).select("hash").distinct().withColumn("near", F.lit(True))
-    judged = lines.join(folded.select("hash", "first").join(near, "hash", "left"), "hash")
-    gone = judged.where(F.col("near").isNotNull() | (F.struct("doc", "line") != F.col("first"))).groupBy("doc").agg(F.collect_set("line").alias("__gone"))
-    return gone, texts
+    verdicts = folded.select("hash", F.col("doc").alias("low")).join(near, "hash", "left")
+    judged = lines.select("doc", "line", "hash", "again").join(verdicts, "hash")
+    return judged.where(F.col("near").isNotNull() | F.col("again") | (F.col("doc") != F.col("low"))).groupBy("doc").agg(F.collect_set("line").alias("__gone"))
 
 
 STATE = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("emptied", T.BooleanType()), T.StructField("deduped", T.StringType())])
@@ -174,8 +183,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     """``keep`` columns (default: all) of docs with n_lines (not blank), n_removed, emptied, and the text that is left, deduped."""
     taken = {f.name for f in STATE.fields}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
-    gone, _ = removed_lines(docs, doc_id, text)
+    lines = shared.written(lines_of(docs, doc_id, text), "lines")
     source = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc"), F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(kept)])
+    gone = removed_lines(lines, source)
     joined = source.join(gone.hint("shuffle_hash"), "doc", "left").select("__text", "__gone", *[f"__in{k}" for k in range(len(kept))])
     schema = T.StructType([*joined.schema.fields[2:], *STATE.fields])
 
