@@ -40,6 +40,8 @@ from lodestone.llm import groups, shared, textbuf
 LENGTH = 100
 GRAM = 32
 MOST = 2048
+#: Bytes of text whose anchors are found at once: some twenty 64-bit numbers for each.
+SLICE_BYTES = 1 << 19
 #: The place of documents without an id: after all others.
 LAST = (1 << 63) - 1
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -89,7 +91,7 @@ def find_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in textbuf.slices(batch, 1):
+            for part in textbuf.slices(batch, 1, SLICE_BYTES):
                 data, offsets = textbuf.flat(part.column(1))
                 doc = part.column(0).to_numpy()
                 whole = textbuf.span_hashes(textbuf.prefix_hashes(data), offsets[:-1], offsets[1:])
