@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from lodestone.llm import decontaminate, linededup, neardup, packing, secrets, shards, shared, suffixes, toxicity, vectors, warc
+from lodestone.llm import decontaminate, linededup, neardup, packing, secrets, shards, shared, sql, suffixes, toxicity, vectors, warc
 
 #: The vocabulary file that op7 names, and how the tokenizer splits texts before it merges bytes.
 TOKENIZER = "byte_bpe_50k.json"
@@ -80,4 +80,8 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_sharding, op4_decontaminate, op5_line_dedup, op6_toxicity, op7_packing, op8_warc, op9_secrets, op10_embedding_neardup)}
-ORACLE_SQL: dict[str, str] = {}
+#: Without SQL: op3 (cuts follow Spark's hash of texts), op6 (a trained model) and op7 (a tokenizer); tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": sql.NEAR_DUPLICATES, "op2_suffix_array_dedup": sql.REPEATS, "op4_decontaminate": sql.CONTAMINATION, "op5_line_dedup": sql.LINES,
+    "op8_warc": sql.WARC, "op9_secrets": sql.secrets_sql(), "op10_embedding_neardup": sql.VECTORS,
+}

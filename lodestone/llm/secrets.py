@@ -51,8 +51,8 @@ MORE = (
     Rule("code_host", r"gh[opsu]_[A-Za-z0-9]{36,255}"),
     Rule("chat", r"xox[abps]-[A-Za-z0-9-]{10,255}"),
     Rule("payment", r"sk_live_[A-Za-z0-9]{16,255}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,2048}\.eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,2048}"),
-    Rule("url_login", r"://[^\s:/@]{1,128}:[^\s:/@]{1,128}@"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}"),
+    Rule("url_login", r"://[^\x00-\x20:/@]{1,128}:[^\x00-\x20:/@]{1,128}@"),
 )
 RULES = BASE + MORE
 #: More strings than these are not written out; the query is then less strict.
