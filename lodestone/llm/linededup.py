@@ -38,7 +38,8 @@ LAST = (1 << 63) - 1
 
 KEYS = ["k0", "k1", "k2", "k3"]
 #: again: an equal line stands further up in the same text.
-LINES = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc", "line", "hash")], T.StructField("again", T.BooleanType()), *[T.StructField(k, T.LongType()) for k in KEYS]])
+PLACED = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc", "line", "hash")], T.StructField("again", T.BooleanType())])
+LINES = T.StructType([*PLACED.fields, *[T.StructField(k, T.LongType()) for k in KEYS]])
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,9 +78,10 @@ def half_keys(prefix: np.ndarray, points: np.ndarray, start: np.ndarray, end: np
     return np.stack(keys, axis=1)
 
 
-def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """A row a line: document, line number, content hash, keys of halves (none for short lines)."""
+def lines_of(docs: DataFrame, doc_id: str, text: str, with_keys: bool = True) -> DataFrame:
+    """A row a line: document, line number, content hash, whether it is a repeat, keys of halves (none for short lines)."""
     source = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = LINES if with_keys else PLACED
 
     def run(batches):
         for batch in batches:
@@ -87,17 +89,20 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 data, offsets = textbuf.flat(part.column(1))
                 row, number, start, end = line_spans(data, offsets)
                 prefix = textbuf.prefix_hashes(data)
-                points = np.flatnonzero((data & 0xC0) != 0x80)
-                long = np.searchsorted(points, end) - np.searchsorted(points, start) >= LEAST_LENGTH
-                keys = np.zeros((len(start), 4), dtype=np.uint64)
-                keys[long] = half_keys(prefix, points, start[long], end[long])
                 h = textbuf.span_hashes(prefix, start, end)
                 order = np.lexsort((number, h, row))
                 again = np.zeros(len(h), dtype=bool)
                 again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(number), pa.array(h.view(np.int64)), pa.array(again), *[pa.array(keys[:, k].view(np.int64), mask=~long) for k in range(4)]], names=LINES.names)
+                columns = [part.column(0).take(pa.array(row)), pa.array(number), pa.array(h.view(np.int64)), pa.array(again)]
+                if with_keys:
+                    points = np.flatnonzero((data & 0xC0) != 0x80)
+                    long = np.searchsorted(points, end) - np.searchsorted(points, start) >= LEAST_LENGTH
+                    keys = np.zeros((len(start), 4), dtype=np.uint64)
+                    keys[long] = half_keys(prefix, points, start[long], end[long])
+                    columns += [pa.array(keys[:, k].view(np.int64), mask=~long) for k in range(4)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return source.mapInArrow(run, LINES)
+    return source.mapInArrow(run, schema)
 
 
 VARIANTS = T.StructType([T.StructField("variant", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("content", T.StringType())])
@@ -115,13 +120,15 @@ def variants(content: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([textbuf.mix(total[-1:] + np.uint64(n)), textbuf.mix(without + np.uint64(n - 1))]), np.arange(-1, n, dtype=np.int32)
 
 
-def removed_lines(lines: DataFrame, source: DataFrame) -> DataFrame:
-    """(document, line numbers to remove); lines: of lines_of(), source: doc, __text and what else goes with them.
+def removed_lines(docs: DataFrame, doc_id: str, text: str, source: DataFrame) -> DataFrame:
+    """(document, line numbers to remove); source: doc, __text and what else goes with them, of docs.
 
     The texts are taken from source with all its columns, so that the caller's own join on doc can use the same shuffle.
     """
     # one number at a time, which keeps these partial sums in hash tables
+    lines = lines_of(docs, doc_id, text)
     folded = lines.where("not again").groupBy("hash").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), *[F.first(k).alias(k) for k in KEYS])
+    folded = shared.kept(folded)
     keyed = folded.where("k0 is not null").select("hash", F.explode(F.array(*KEYS)).alias("key")).repartition("key")
     common = keyed.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low != high").select("key")
     some = keyed.join(common, "key", "left_semi").select("hash").distinct().join(folded.select("hash", "doc", "line"), "hash")
@@ -172,7 +179,7 @@ def removed_lines(lines: DataFrame, source: DataFrame) -> DataFrame:
     proven = accused.distinct().join(content, "hash").join(content.select(F.col("hash").alias("by"), F.col("content").alias("earlier")), "by")
     near = proven.where(F.levenshtein("content", "earlier", 1) >= 0).select("hash").distinct().withColumn("near", F.lit(True))
     verdicts = folded.select("hash", F.col("doc").alias("low")).join(near, "hash", "left")
-    judged = lines.select("doc", "line", "hash", "again").join(verdicts, "hash")
+    judged = lines_of(docs, doc_id, text, with_keys=False).join(verdicts, "hash")
     return judged.where(F.col("near").isNotNull() | F.col("again") | (F.col("doc") != F.col("low"))).groupBy("doc").agg(F.collect_set("line").alias("__gone"))
 
 
@@ -183,9 +190,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     """``keep`` columns (default: all) of docs with n_lines (not blank), n_removed, emptied, and the text that is left, deduped."""
     taken = {f.name for f in STATE.fields}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
-    lines = shared.written(lines_of(docs, doc_id, text), "lines")
     source = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc"), F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(kept)])
-    gone = removed_lines(lines, source)
+    gone = removed_lines(docs, doc_id, text, source)
     joined = source.join(gone.hint("shuffle_hash"), "doc", "left").select("__text", "__gone", *[f"__in{k}" for k in range(len(kept))])
     schema = T.StructType([*joined.schema.fields[2:], *STATE.fields])
 
