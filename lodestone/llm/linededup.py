@@ -128,7 +128,7 @@ def removed_lines(docs: DataFrame, doc_id: str, text: str, source: DataFrame) ->
     # one number at a time, which keeps these partial sums in hash tables
     lines = lines_of(docs, doc_id, text)
     folded = lines.where("not again").groupBy("hash").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), *[F.first(k).alias(k) for k in KEYS])
-    folded = shared.kept(folded)
+    folded = shared.written(folded, "lines")
     keyed = folded.where("k0 is not null").select("hash", F.explode(F.array(*KEYS)).alias("key")).repartition("key")
     common = keyed.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low != high").select("key")
     some = keyed.join(common, "key", "left_semi").select("hash").distinct().join(folded.select("hash", "doc", "line"), "hash")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: For sessions that name no folder, as in tests.
@@ -29,13 +28,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and kept on the executors' disks, compressed; what a lost executor held is computed again."""
-    df = df.persist(StorageLevel.DISK_ONLY)
-    df.count()
-    return df
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and kept as a compressed table in the shared folder."""
     to = new_folder(df.sparkSession, name)

@@ -281,7 +281,7 @@ def repeated_spans(texts: DataFrame, fetch: DataFrame, length: int, gram: int, m
     """(doc, start, end) whose bytes are to go; texts: all, fetch: those that may be asked about, both doc and text."""
     found = find_anchors(texts, length, gram)
     order = ["gram", "context", "doc", "place"]
-    judged = shared.kept(found.repartition("gram").sortWithinPartitions(*order).mapInArrow(judge, JUDGED))
+    judged = shared.written(found.repartition("gram").sortWithinPartitions(*order).mapInArrow(judge, JUDGED), "anchors")
     whole = judged.where("gone").select("doc", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     asked = judged.where("not gone")
     sizes = asked.groupBy("gram").agg(F.count("*").alias("size"))
@@ -362,7 +362,7 @@ def remove_repeats_with(docs: DataFrame, doc_id: str, text: str, length: int, gr
     texts = _ids(docs, doc_id, text)
     keyed = texts.select("doc", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
     least = keyed.where(F.col("n") >= length).groupBy("sha").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select("sha", "low")
-    copies = shared.kept(keyed.join(least, "sha").where("doc != low").select("doc", "sha", "n"))
+    copies = shared.cut(keyed.join(least, "sha").where("doc != low").select("doc", "sha", "n"))
     by_doc = copies.groupBy("doc").agg(F.collect_set("sha").alias("copied"))
     marked = texts.withColumn("sha", F.sha2("text", 256)).join(by_doc.hint("shuffle_hash"), "doc", "left")
     others = marked.where(~F.coalesce(F.array_contains("copied", F.col("sha")), F.lit(False))).select("doc", "text")
