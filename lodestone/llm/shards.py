@@ -18,7 +18,7 @@ An empty table gives no rows. Fewer groups than shards leave shards empty.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from lodestone.llm import shared
 
 SHARDS = 24
 ROW_BYTES = 8
-PROBES = 128
+PROBES = 512
 BIN = 512
 #: Rows that one task numbers, about.
 NUMBERED = 20_000
@@ -51,29 +51,38 @@ class Prefixes:
         self.total = self.starts[-1]
         self.largest = max((r["largest"] for r in per_bin.values()), default=0)
 
-    def reach(self, targets: list[int]) -> list[tuple[int, int | None]]:
-        """For each target the largest prefix sum that isn't beyond it, and the last group's hash (None: no group)."""
-        out: list[tuple[int, int | None]] = [(0, None)] * len(targets)
+    def look_up(self, targets: list[int], pick: str) -> list[tuple[int, int] | None]:
+        """For each target (from 1 to the total) the (prefix sum, last hash) that ``pick`` finds among the groups of its bin."""
         asked = []
         for i, t in enumerate(targets):
-            t = min(t, self.total)
-            b = min(bisect_right(self.starts, t) - 1, (1 << self.bits) - 1)
-            while b > 0 and self.starts[b] == t:  # the end of an earlier bin
-                b -= 1
+            b = bisect_left(self.starts, t) - 1  # starts[b] < t <= starts[b + 1]
             asked.append(f"({i}, {b}, {t - self.starts[b]}L)")
         values = self.bins.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(asked)} AS v(i, bin, x)")
-        found = values.join(self.bins, "bin").select("i", "bin", F.expr("filter(g, s -> s.upto <= x)").alias("g")).select("i", "bin", F.when(F.size("g") > 0, F.element_at("g", -1)).alias("s"))
-        back = []
-        for r in found.collect():
+        out: list[tuple[int, int] | None] = [None] * len(targets)
+        for r in values.join(self.bins, "bin").select("i", "bin", F.expr(pick).alias("s")).collect():
             if r["s"] is not None:
                 out[r["i"]] = (self.starts[r["bin"]] + r["s"]["upto"], r["s"]["key"])
-            else:
-                back.append((r["i"], self.starts[r["bin"]]))
-        seen = {r for r, _ in back}
-        if again := [(i, s) for i, s in back if s > 0]:  # the last group stands in an earlier bin
-            for (i, _), got in zip(again, self.reach([s for _, s in again]), strict=True):
-                out[i] = got
-        return [o if i in seen or o[1] is not None or targets[i] <= 0 else o for i, o in enumerate(out)]
+        return out
+
+    def reach(self, targets: list[int]) -> list[tuple[int, int | None]]:
+        """For each target the largest prefix sum that isn't beyond it, and the last group's hash (None: no group)."""
+        out: list[tuple[int, int | None]] = [(0, None)] * len(targets)
+        left = {i: min(t, self.total) for i, t in enumerate(targets) if t > 0}
+        while left:  # once more for targets before the first group of their bin: the group before stands in an earlier one
+            found = self.look_up(list(left.values()), "try_element_at(filter(g, s -> s.upto <= x), -1)")
+            again = {}
+            for (i, t), got in zip(left.items(), found, strict=True):
+                start = self.starts[bisect_left(self.starts, t) - 1]
+                if got is not None:
+                    out[i] = got
+                elif start > 0:
+                    again[i] = start
+            left = again
+        return out
+
+    def after(self, target: int) -> int:
+        """The smallest prefix sum that isn't before the target."""
+        return 0 if target <= 0 else self.look_up([target], "try_element_at(filter(g, s -> s.upto >= x), 1)")[0][0]
 
 
 def capacity(p: Prefixes, shards: int) -> int:
@@ -94,27 +103,21 @@ def capacity(p: Prefixes, shards: int) -> int:
 def cuts(p: Prefixes, shards: int) -> list[int | None]:
     """The hash after which each shard but the last ends; None: before all groups."""
     most = capacity(p, shards)
+    least = [p.total]  # the earliest places from which 0, 1, ... shards hold the rest
+    for _ in range(shards - 1):
+        least.append(p.after(least[-1] - most))
     at, out = 0, []
     for left in range(shards, 1, -1):
-        # as even as can be, but what is left must fit into the other shards
-        even, full = p.reach([at + -(-(p.total - at) // left), at + most])
-        need = p.total - (left - 1) * most
-        take = even if even[0] >= need and even[0] > at else full
-        if take is even and not _fits(p, even[0], left - 1, most):
-            take = full
+        # as even as can be; what is left must fit into the other shards, and a shard takes a group if there is one
+        even, need = p.reach([at + -(-(p.total - at) // left), least[left - 1]])
+        take = max(even, need, key=lambda x: x[0])
+        if take[0] <= at < p.total:
+            take = p.reach([p.after(at + 1)])[0]
         at = take[0]
         out.append(take[1])
     return out
 
 
-def _fits(p: Prefixes, at: int, shards: int, most: int) -> bool:
-    for _ in range(shards):
-        at = p.reach([at + most])[0][0]
-        if at >= p.total:
-            return True
-    return at >= p.total
-
-
 def assign_shards(docs: DataFrame, text: str = "text", order_by: str = "doc_id", shards: int = SHARDS, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all) of docs with size, text_crc32, shard and slot."""
     made = ("size", "text_crc32", "shard", "slot")
