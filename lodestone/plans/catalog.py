@@ -253,14 +253,14 @@ def _summary_sql(column: str) -> str:
 er("distribution_summary", _METRICS_CTE + f" SELECT 'name' AS field, {_summary_sql('name_levenshtein_sim')} FROM pm UNION ALL SELECT 'address', {_summary_sql('addr_levenshtein_sim')} FROM pm")(
     lambda e: rounded(_metrics(e).agg(*evaluate.summary(F.col("name_levenshtein_sim"))).select(F.lit("name").alias("field"), "*").unionByName(_metrics(e).agg(*evaluate.summary(F.col("addr_levenshtein_sim"))).select(F.lit("address").alias("field"), "*")))
 )
-er("tfidf_cosine", """ranked AS (SELECT t.s1_id, t.noisy_id, a.nn AS x, b.nn AS y FROM truth t JOIN s1 a ON a.entity_id = t.s1_id JOIN nz b ON b.entity_id = t.noisy_id ORDER BY 1, 2 LIMIT 2000),
+er("tfidf_cosine", """ranked AS (SELECT t.s1_id, t.noisy_id, a.nn AS x, b.nn AS y FROM truth t JOIN s1 a ON a.entity_id = t.s1_id JOIN nz b ON b.entity_id = t.noisy_id),
 wd AS (SELECT s1_id, noisy_id, 0 AS side, unnest(string_split(x,' ')) AS word FROM ranked UNION ALL SELECT s1_id, noisy_id, 1, unnest(string_split(y,' ')) FROM ranked),
 tf AS (SELECT s1_id, noisy_id, side, word, count(*) AS tf FROM wd WHERE length(word) >= 2 GROUP BY ALL),
 idf AS (SELECT word, ln((1 + (SELECT 2 * count(*) FROM ranked))::DOUBLE / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
 v AS (SELECT s1_id, noisy_id, word, sum(CASE WHEN side = 0 THEN tf * idf ELSE 0 END) AS wa, sum(CASE WHEN side = 1 THEN tf * idf ELSE 0 END) AS wb FROM tf JOIN idf USING (word) GROUP BY ALL),
 cs AS (SELECT s1_id, noisy_id, sum(wa * wb) / nullif(sqrt(sum(wa * wa)) * sqrt(sum(wb * wb)), 0) AS cosine FROM v GROUP BY 1, 2)
 SELECT s1_id, noisy_id, round(coalesce(cosine, 0), 6) AS cosine FROM ranked LEFT JOIN cs USING (s1_id, noisy_id)""")(
-    lambda e: rounded(features.tfidf_cosine(true_pairs(e, ["nn"]).orderBy(*blocking.PAIR).limit(2000), "a_nn", "b_nn", blocking.PAIR))
+    lambda e: rounded(features.tfidf_cosine(true_pairs(e, ["nn"]), "a_nn", "b_nn", blocking.PAIR))
 )
 
 # ---- frequencies and corpus statistics
@@ -394,19 +394,32 @@ def _labelled_c(e: Entities) -> DataFrame:
 er("hard_negatives", _LABEL_SQL + " SELECT s1_id, noisy_id, label::BIGINT AS label FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY src, noisy_id) AS r FROM lb) WHERE label = 1 OR r <= 15")(lambda e: rounded(sampling.hard_negatives(_labelled_c(e)).select(*blocking.PAIR, "label")))
 er("balanced_sample", _LABEL_SQL + f", ct AS (SELECT count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS q FROM lb), tk AS (SELECT least(p, greatest(250, 500 - q)) AS ones, least(q, 500 - least(p, greatest(250, 500 - q))) AS zeros FROM ct), rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_BUCKET.format('pair', 1337)}, pair) AS r FROM (SELECT *, s1_id||'|'||noisy_id AS pair FROM lb)) SELECT s1_id, noisy_id, label::BIGINT AS label FROM rk, tk WHERE r <= CASE WHEN label = 1 THEN ones ELSE zeros END")(lambda e: rounded(sampling.balanced(_labelled_c(e).withColumn("pair", F.concat_ws("|", *blocking.PAIR)), "pair", 500).select(*blocking.PAIR, "label")))
 er("capped_examples", "SELECT country, entity_id, r AS rank FROM (SELECT country, entity_id, row_number() OVER (PARTITION BY country ORDER BY entity_id) AS r FROM nz) WHERE r <= 5")(lambda e: rounded(sampling.capped(e.noisy, ["country"], 5).select("country", "entity_id", "rank")))
-for _label, _column, _cap in (("neg_same_name", "nn", 5), ("neg_same_addr", "na", 5), ("neg_same_country", "country", 50)):
-    er(_label, f"pool AS (SELECT entity_id, {_column} AS k FROM (SELECT *, row_number() OVER (PARTITION BY {_column} ORDER BY entity_id) AS r FROM nz WHERE {_column} <> '') WHERE r <= {_cap}), op AS (SELECT DISTINCT a.entity_id AS s1_id, p.entity_id AS noisy_id FROM s1 a JOIN pool p ON p.k = a.{_column} WHERE a.entity_id IN (SELECT s1_id FROM truth) AND (a.entity_id, p.entity_id) NOT IN (SELECT (s1_id, noisy_id) FROM truth)) SELECT s1_id, noisy_id FROM op QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY {_BUCKET.format("(s1_id||'|'||noisy_id)", 1337)}, noisy_id) = 1")(lambda e, c=_column, k=_cap: sampling.controlled_negatives(e.truth, e.s1, e.noisy, c, k))
+_NEGATIVES = {"same_name": ("nn", 5), "same_address": ("na", 5), "same_country": ("country", 50)}
+
+
+def _negatives_sql(column: str, cap: int) -> str:
+    pool = f"SELECT entity_id, {column} AS k FROM (SELECT *, row_number() OVER (PARTITION BY {column} ORDER BY entity_id) AS r FROM nz WHERE {column} <> '') WHERE r <= {cap}"
+    options = f"SELECT DISTINCT a.entity_id AS s1_id, p.entity_id AS noisy_id FROM s1 a JOIN ({pool}) p ON p.k = a.{column} WHERE a.entity_id IN (SELECT s1_id FROM truth) AND (a.entity_id, p.entity_id) NOT IN (SELECT (s1_id, noisy_id) FROM truth)"
+    bucket = _BUCKET.format("(s1_id||'|'||noisy_id)", 1337)
+    return f"SELECT s1_id, noisy_id FROM ({options}) QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY {bucket}, noisy_id) = 1"
+
+
+for _label, (_column, _cap) in _NEGATIVES.items():
+    er(f"neg_{_label.replace('address', 'addr')}", f"SELECT * FROM ({_negatives_sql(_column, _cap)})")(lambda e, c=_column, k=_cap: sampling.controlled_negatives(e.truth, e.s1, e.noisy, c, k))
 er("negatives_rule_e", f"SELECT s1_id, noisy_id FROM (({_rule_sql('e_rare')}) EXCEPT (SELECT * FROM truth)) ORDER BY 1, 2 LIMIT 5000")(lambda e: blocking.rule("e_rare", e.s1, e.noisy, RARE).join(e.truth, blocking.PAIR, "left_anti").orderBy(*blocking.PAIR).limit(5000))
 
 
-@er("pos_vs_neg", None)
+_KINDS_SQL = " UNION ALL ".join(f"SELECT '{k}' AS kind, * FROM ({q})" for k, q in {"positive": "SELECT * FROM truth", **{k: _negatives_sql(*v) for k, v in _NEGATIVES.items()}}.items())
+
+
+@er("pos_vs_neg", f"kd AS ({_KINDS_SQL}), mk AS (SELECT kind, {_METRIC_SQL['name_levenshtein_sim']} AS v FROM kd t JOIN s1 a ON a.entity_id = t.s1_id JOIN nz b ON b.entity_id = t.noisy_id) SELECT kind, {_summary_sql('v')} FROM mk GROUP BY kind")
 def _(e):
-    kinds = {"positive": e.truth, **{k: sampling.controlled_negatives(e.truth, e.s1, e.noisy, c, n) for k, c, n in (("same_name", "nn", 5), ("same_address", "na", 5), ("same_country", "country", 50))}}
+    kinds = {"positive": e.truth, **{k: sampling.controlled_negatives(e.truth, e.s1, e.noisy, c, n) for k, (c, n) in _NEGATIVES.items()}}
     out = None
     for kind, pairs in kinds.items():
-        one = features.with_metrics(records.pair_columns(pairs, e.s1, e.noisy, features.RECORD)).agg(*evaluate.summary(F.col("name_levenshtein_sim"))).select(F.lit(kind).alias("kind"), "*")
+        one = pairs.withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    return rounded(features.with_metrics(records.pair_columns(out, e.s1, e.noisy, features.RECORD)).groupBy("kind").agg(*evaluate.summary(F.col("name_levenshtein_sim"))))
 
 
 # ---- matching and its evaluation
@@ -535,7 +548,10 @@ def _(spark, sf_dir):
     return kept.select(*[F.get("fields", F.lit(k)).alias(c) for k, c in enumerate(tables.SOURCE_COLUMNS)]).where("entity_id <> ''")
 
 
-@query("experiment_append", None)
+_EMPTY = ", ".join(f"'' AS {c}" for c in tables.EXPERIMENT_COLUMNS if c not in ("experiment_id", "timestamp_utc", "notes"))
+
+
+@query("experiment_append", f"SELECT 'run-'||(n_nationkey % 7) AS experiment_id, CASE WHEN n_nationkey % 7 < 4 THEN '2000-01-01T00:00:00Z' ELSE '2000-01-02T00:00:00Z' END AS timestamp_utc, min(n_name) AS notes, {_EMPTY} FROM nation GROUP BY 1, 2", prelude=False)
 def _(spark, sf_dir):
     ids = table(spark, sf_dir, "nation").select(F.concat(F.lit("run-"), F.col("n_nationkey") % 7).alias("experiment_id"), F.col("n_name").alias("notes"))
     none = spark.createDataFrame([], ", ".join(f"{c} string" for c in tables.EXPERIMENT_COLUMNS))
