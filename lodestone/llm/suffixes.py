@@ -8,9 +8,10 @@ substrings of ``GRAM`` bytes the one with the smallest hash, the leftmost of equ
 equal offsets, and the strings that share an anchor start in one run of places, so a text has an anchor for every 35
 bytes or so. An anchor's context is what its strings cover.
 
-1. Anchors are shuffled by the hash of their gram and sorted by gram, context hash and place. One streaming pass, which
-   holds a row, tells the anchors whose whole context stands earlier: all their strings go. Of the others, those whose
-   gram has several contexts are asked about further; they are the first of their context.
+1. Anchors are shuffled by the hash of their gram, but for those whose whole context stands earlier in the same slice of
+   texts, and sorted by gram, context hash and place. One streaming pass, which holds a row, tells the anchors whose
+   whole context stands earlier: all their strings go. Of the others, those whose gram has several contexts are asked
+   about further; they are the first of their context.
 2. For these the context's bytes are fetched. The anchors of a gram are suffixes, and reversed prefixes, that start at the
    same byte; they are sorted by mergesort. Two are compared by their common extension, found by binary search on the
    differences of polynomial prefix hashes, so a comparison takes log2(LENGTH) steps. Neighbours in the order are then
@@ -83,11 +84,15 @@ def _ids(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
 
-ANCHOR = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "context", "doc", "place", "first", "last")])
+ANCHOR = T.StructType([*[T.StructField(n, T.LongType()) for n in ("gram", "context", "doc", "place", "first", "last")], T.StructField("gone", T.BooleanType())])
 
 
 def find_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Anchors by document; of equal texts of a slice only those of the smallest id."""
+    """Anchors by document; of equal texts of a slice only those of the smallest id.
+
+    An anchor whose context stands earlier in the same slice is gone at once. It keeps no gram but a number of its own to
+    be dealt by, so that a very common string sends few rows to the task of its gram.
+    """
 
     def run(batches):
         for batch in batches:
@@ -100,8 +105,16 @@ def find_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 first[order[1:]] = (whole[order[1:]] != whole[order[:-1]]) | (doc[order[1:]] == doc[order[:-1]])
                 row, p, s, e, h, c = anchors(data, offsets, length, gram)
                 on = first[row]
-                row, base = row[on], offsets[row[on]]
-                yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(c[on].view(np.int64)), pa.array(doc[row]), pa.array(p[on] - base), pa.array(s[on] - base), pa.array(e[on] - base)], names=ANCHOR.names)
+                base = offsets[row[on]]
+                d, p, s, e, h, c = doc[row[on]], p[on] - base, s[on] - base, e[on] - base, h[on], c[on]
+                by = np.lexsort((p, d, c, h))
+                new = np.ones(len(by), dtype=bool)
+                new[1:] = (h[by][1:] != h[by][:-1]) | (c[by][1:] != c[by][:-1])
+                lead = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+                gone = np.zeros(len(by), dtype=bool)
+                gone[by] = (d[by] != d[lead]) | (p[by] != p[lead])
+                h[gone] = textbuf.mix(h[gone] + d[gone].astype(np.uint64) * _STEP + p[gone].astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(p), pa.array(s), pa.array(e), pa.array(gone)], names=ANCHOR.names)
 
     return texts.mapInArrow(run, ANCHOR)
 
@@ -114,6 +127,11 @@ def judge(batches):
     head = None  # the earliest row of the context at hand: gram, context, doc, place
     waiting = None  # the first row of the gram at hand, as long as it has only one context
     for batch in batches:
+        settled = batch.column(6).to_numpy(zero_copy_only=False)
+        if settled.any():
+            done = batch.filter(batch.column(6))
+            yield pa.RecordBatch.from_arrays([done.column(k) for k in (0, 2, 3, 4, 5, 6)], names=JUDGED.names)
+            batch = batch.filter(pa.array(~settled))
         if not batch.num_rows:
             continue
         g, c, d, p, s, e = (batch.column(k).to_numpy() for k in range(6))
