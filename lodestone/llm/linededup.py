@@ -37,7 +37,7 @@ LEAST_LENGTH = 20
 LAST = (1 << 63) - 1
 
 KEYS = ["k0", "k1", "k2", "k3"]
-#: again: an equal line stands further up in the same text.
+#: again: an equal line stands earlier in the same text, or in another document of the same slice.
 PLACED = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc", "line", "hash")], T.StructField("again", T.BooleanType())])
 LINES = T.StructType([*PLACED.fields, *[T.StructField(k, T.LongType()) for k in KEYS]])
 
@@ -90,9 +90,15 @@ def lines_of(docs: DataFrame, doc_id: str, text: str, with_keys: bool = True) ->
                 row, number, start, end = line_spans(data, offsets)
                 prefix = textbuf.prefix_hashes(data)
                 h = textbuf.span_hashes(prefix, start, end)
-                order = np.lexsort((number, h, row))
+                doc = part.column(0).to_numpy()[row]
+                order = np.lexsort((number, row, doc, h))
+                same = np.zeros(len(h), dtype=bool)
+                same[1:] = h[order[1:]] == h[order[:-1]]
+                lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))]
+                beside = np.zeros(len(h), dtype=bool)
+                beside[1:] = row[order[1:]] == row[order[:-1]]
                 again = np.zeros(len(h), dtype=bool)
-                again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+                again[order] = same & ((doc[order] != doc[lead]) | beside)
                 columns = [part.column(0).take(pa.array(row)), pa.array(number), pa.array(h.view(np.int64)), pa.array(again)]
                 if with_keys:
                     points = np.flatnonzero((data & 0xC0) != 0x80)
@@ -179,8 +185,11 @@ def removed_lines(docs: DataFrame, doc_id: str, text: str, source: DataFrame) ->
     proven = accused.distinct().join(content, "hash").join(content.select(F.col("hash").alias("by"), F.col("content").alias("earlier")), "by")
     near = proven.where(F.levenshtein("content", "earlier", 1) >= 0).select("hash").distinct().withColumn("near", F.lit(True))
     verdicts = folded.select("hash", F.col("doc").alias("low")).join(near, "hash", "left")
-    judged = lines_of(docs, doc_id, text, with_keys=False).join(verdicts, "hash")
-    return judged.where(F.col("near").isNotNull() | F.col("again") | (F.col("doc") != F.col("low"))).groupBy("doc").agg(F.collect_set("line").alias("__gone"))
+    # lines that a slice has settled are dealt by their places, so a very common line sends few rows to its hash
+    placed = lines_of(docs, doc_id, text, with_keys=False)
+    placed = placed.withColumn("hash", F.when(F.col("again"), F.xxhash64("doc", "line")).otherwise(F.col("hash")))
+    gone = placed.join(verdicts, "hash", "left").where(F.col("again") | F.col("near").isNotNull() | (F.col("doc") != F.col("low")))
+    return gone.groupBy("doc").agg(F.collect_set("line").alias("__gone"))
 
 
 STATE = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("emptied", T.BooleanType()), T.StructField("deduped", T.StringType())])
