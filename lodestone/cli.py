@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     command("train", *three, "truth", options={"to": "models/v1", "top-k": blocking.TOP_K, "max-df": blocking.MAX_DF, "negatives": 15, "sample": 500_000, "iterations": 100, "seed": 1337, "max-rows": 0})
     command("predict", *three, "model", options={"to": "output", "top-k": blocking.TOP_K, "max-df": blocking.MAX_DF})
     command("evaluate", "truth", "predicted")
+    command("log", "registry", options={c: "" for c in tables.EXPERIMENT_COLUMNS})
     command("validate", "matches_file", "s1", options={"candidates": None})
     return p
 
@@ -64,6 +65,10 @@ def validate(spark: SparkSession, path: str, s1: str, candidates: str | None) ->
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.command == "log":
+        done = tables.log_experiment(a.registry, {c: getattr(a, c) for c in tables.EXPERIMENT_COLUMNS})
+        print("logged" if done else "the experiment id is missing or there already")
+        return int(not done)
     spark = session()
     paths = [getattr(a, k) for k in ("s1", "s2", "s3") if hasattr(a, k)]
     if a.command == "audit":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 import shutil
@@ -147,6 +148,24 @@ def append_experiments(existing: DataFrame, new: DataFrame, now: str | None = No
     return existing.select(*EXPERIMENT_COLUMNS).unionByName(judged.where(ok).select(*EXPERIMENT_COLUMNS)), judged.where(~ok).select(*EXPERIMENT_COLUMNS)
 
 
+def log_experiment(path: str, row: dict[str, str], now: str | None = None) -> bool:
+    """Appends one row to a registry file, with a header if it is new; False if its id is empty or there already."""
+    known: set[str] = set()
+    fresh = not os.path.exists(path) or os.path.getsize(path) == 0
+    if not fresh:
+        with open(path, newline="", encoding="utf-8") as f:
+            known = {r["experiment_id"] for r in csv.DictReader(f)}
+    if not row.get("experiment_id") or row["experiment_id"] in known:
+        return False
+    stamp = row.get("timestamp_utc") or now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    with open(path, "a", newline="", encoding="utf-8") as f:
+        out = csv.DictWriter(f, EXPERIMENT_COLUMNS)
+        if fresh:
+            out.writeheader()
+        out.writerow({c: row.get(c) or "" for c in EXPERIMENT_COLUMNS} | {"timestamp_utc": stamp})
+    return True
+
+
 def find_tables(root: str, names: list[str] | None = None, skip: tuple[str, ...] = (".git", "__pycache__", "venv", ".venv", "node_modules")) -> list[str]:
     """TSV files below a folder, sorted; with names, the first hit of each."""
     found = []

@@ -153,6 +153,15 @@ def test_commands(spark, files, tmp_path, capsys):
     assert cli.main(["validate", str(bad), files["s1"]]) == 1
 
 
+def test_log(tmp_path):
+    path = str(tmp_path / "experiments.csv")
+    assert cli.main(["log", path, "--experiment_id", "a", "--notes", "x, y"]) == 0
+    assert cli.main(["log", path, "--experiment_id", "a"]) == 1 and cli.main(["log", path]) == 1
+    assert cli.main(["log", path, "--experiment_id", "b", "--timestamp_utc", "T"]) == 0
+    lines = open(path).read().splitlines()
+    assert lines[0].split(",") == tables.EXPERIMENT_COLUMNS and len(lines) == 3 and lines[2].startswith("b,T,")
+
+
 def test_stream(spark, files, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
