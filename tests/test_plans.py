@@ -11,7 +11,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["block_v1_bounded", "block_approx_name", "hard_negatives"])
+@pytest.mark.parametrize("name", ["block_v1_bounded", "block_approx_name", "capped_examples"])
 def test_top_k_is_limited_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan(catalog.QUERIES[name](spark, SF))
 
