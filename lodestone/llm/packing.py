@@ -33,7 +33,7 @@ END_ID = 2
 NUMBERED = 20_000
 PARTS = 64
 
-_LOADED: dict[str, tuple] = {}
+_LOADED: dict = {}
 
 
 def byte_of_character() -> dict[str, int]:
@@ -51,15 +51,21 @@ def encoder(path: str, pattern: str):
     """
     if path not in _LOADED:
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         byte = byte_of_character()
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         fast = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        _LOADED[path] = fast, Tokenizer.from_file(path), set(special)
-    fast, plain, special = _LOADED[path]
+        _LOADED[path] = fast, set(special)
+    fast, special = _LOADED[path]
+
+    def plain(text: str) -> list[int]:
+        if ("plain", path) not in _LOADED:
+            from tokenizers import Tokenizer
+
+            _LOADED["plain", path] = Tokenizer.from_file(path)
+        return _LOADED["plain", path].encode(text, add_special_tokens=False).ids
 
     def encode(texts: list[str]) -> list[list[int]]:
         out = []
@@ -67,7 +73,7 @@ def encoder(path: str, pattern: str):
             try:
                 out.append(fast.encode(t, allowed_special=special, disallowed_special=()))
             except Exception:  # runs of characters that overflow its pattern matcher
-                out.append(plain.encode(t, add_special_tokens=False).ids)
+                out.append(plain(t))
         return out
 
     return encode

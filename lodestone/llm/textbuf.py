@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that a kernel handles at once; a longer text is handled alone and whole.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a kernel handles at once, each of which takes some tens of 64-bit numbers; a longer text is handled alone and whole.
+SLICE_BYTES = 1 << 19
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
