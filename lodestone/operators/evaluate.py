@@ -44,8 +44,9 @@ def threshold_sweep(s1_ids: DataFrame, scored: DataFrame, truth: DataFrame, grid
     """Macro F0.5 at each threshold, from one pass over the scored pairs; is_best marks the first of the best."""
     n_true = truth.groupBy("s1_id").agg(F.count("*").alias("n_true"))
     hit = scored.join(truth.withColumn("t", F.lit(1)), ["s1_id", "noisy_id"], "left")
+    # level 0 isn't filtered out: the filter would go below the join and compute the score once for each threshold
     level = sum(((F.col(score) >= t).cast("int") for t in grid), F.lit(0))
-    by_level = hit.select("s1_id", level.alias("level"), F.col("t").isNotNull().cast("int").alias("hit")).where("level > 0").groupBy("s1_id", "level").agg(F.count("*").alias("n"), F.sum("hit").alias("tp"))
+    by_level = hit.select("s1_id", level.alias("level"), F.col("t").isNotNull().cast("int").alias("hit")).groupBy("s1_id", "level").agg(F.count("*").alias("n"), F.sum("hit").alias("tp"))
     lists = by_level.groupBy("s1_id").agg(F.collect_list(F.struct("level", "n", "tp")).alias("levels"))  # one entry a threshold at most
     entities = s1_ids.select("s1_id").join(n_true, "s1_id", "left").join(lists, "s1_id", "left")
     steps = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(k + 1).alias("k")) for k, t in enumerate(grid)]))
