@@ -20,8 +20,8 @@ from lodestone.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Frequency caps that leave some tokens out at the sizes of the test tables.
-RARE, RARE_GRID = 20, (5, 10, 20)
+#: Frequency caps: of the rare-token queries, and the grids of e_rare and h. On small tables the larger ones leave few tokens out.
+RARE, RARE_GRID, H_GRID = blocking.MAX_DF, (5, 10, 20, 50, 100, 200), (50, 200, 1000)
 
 _NORM = r"trim(regexp_replace(replace(lower({0}),'ß','ss'),'[^\p{{L}}\p{{N}}_]+',' ','g'))"
 _TOKENS = "list_filter(string_split({0},' '), lambda t: t <> '')"
@@ -165,6 +165,8 @@ for _name in ("a", "b", "c", "d", "e", "f", "g", "h", "n_rare", "c_and_e", "g_an
     er(f"block_{_name}", f"SELECT * FROM ({_pairs_sql(_name)})")(lambda e, n=_name: blocking.pairs_of(n, e.s1, e.noisy, RARE))
 for _k in RARE_GRID:
     er(f"block_e_rare_{_k}", f"SELECT * FROM ({_rule_sql('e_rare', _k)})")(lambda e, k=_k: blocking.rule("e_rare", e.s1, e.noisy, k))
+for _k in H_GRID:
+    er(f"block_h_{_k}", f"SELECT * FROM ({_rule_sql('h', _k)})")(lambda e, k=_k: blocking.rule("h", e.s1, e.noisy, k))
 
 _APPROX_SQL = f"""gr AS (SELECT src, entity_id, CASE WHEN nn = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, length('^'||nn||'$') - 1)), lambda i: substr('^'||nn||'$', i, 3))) END AS g FROM m),
 g1 AS (SELECT entity_id, len(g) AS n, unnest(g) AS gram FROM gr WHERE src = 1), g2 AS (SELECT entity_id, len(g) AS n, unnest(g) AS gram FROM gr WHERE src > 1),
@@ -407,6 +409,7 @@ def _negatives_sql(column: str, cap: int) -> str:
 for _label, (_column, _cap) in _NEGATIVES.items():
     er(f"neg_{_label.replace('address', 'addr')}", f"SELECT * FROM ({_negatives_sql(_column, _cap)})")(lambda e, c=_column, k=_cap: sampling.controlled_negatives(e.truth, e.s1, e.noisy, c, k))
 er("negatives_rule_e", f"SELECT s1_id, noisy_id FROM (({_rule_sql('e_rare')}) EXCEPT (SELECT * FROM truth)) ORDER BY 1, 2 LIMIT 5000")(lambda e: blocking.rule("e_rare", e.s1, e.noisy, RARE).join(e.truth, blocking.PAIR, "left_anti").orderBy(*blocking.PAIR).limit(5000))
+er("negatives_rule_e_all", f"SELECT s1_id, noisy_id FROM (({_rule_sql('e')}) EXCEPT (SELECT * FROM truth)) ORDER BY 1, 2 LIMIT 5000")(lambda e: blocking.rule("e", e.s1, e.noisy).join(e.truth, blocking.PAIR, "left_anti").orderBy(*blocking.PAIR).limit(5000))
 
 
 _KINDS_SQL = " UNION ALL ".join(f"SELECT '{k}' AS kind, * FROM ({q})" for k, q in {"positive": "SELECT * FROM truth", **{k: _negatives_sql(*v) for k, v in _NEGATIVES.items()}}.items())
