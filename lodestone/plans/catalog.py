@@ -379,6 +379,8 @@ er("sample_entities", f"SELECT entity_id, {_BUCKET.format('entity_id', 1337)} AS
 er("train_val_split", f"SELECT entity_id AS s1_id, {_BUCKET.format('entity_id', 1337)} >= {int(0.8 * (1 << 32))} AS is_validation FROM s1")(lambda e: sampling.split(e.ids, "s1_id"))
 er("volume_estimate", f"smp AS (SELECT * FROM nz WHERE {_BUCKET.format('entity_id', 1338)} < {int(0.2 * (1 << 32))}) SELECT (SELECT count(*) FROM smp) AS sampled, (SELECT count(*) FROM nz) AS total, count(*) AS hits, round(count(*)::DOUBLE * (SELECT count(*) FROM nz) / (SELECT count(*) FROM smp), 6) AS estimated FROM ({_pairs_sql('c')}) p WHERE p.noisy_id IN (SELECT entity_id FROM smp)")(lambda e: rounded(_volume(e)))
 
+er("sample_entities_20000", f"SELECT entity_id, {_BUCKET.format('entity_id', 1337)} AS bucket FROM s1 ORDER BY 2, 1 LIMIT 20000")(lambda e: sampling.sample_n(e.s1, "entity_id", 20_000).select("entity_id", sampling.bucket(F.col("entity_id")).alias("bucket")))
+
 
 def _volume(e: Entities) -> DataFrame:
     some = sampling.bernoulli(e.noisy, "entity_id", 0.2, 1338)
@@ -396,7 +398,10 @@ def _labelled_c(e: Entities) -> DataFrame:
 er("hard_negatives", _LABEL_SQL + " SELECT s1_id, noisy_id, label::BIGINT AS label FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY src, noisy_id) AS r FROM lb) WHERE label = 1 OR r <= 15")(lambda e: rounded(sampling.hard_negatives(_labelled_c(e)).select(*blocking.PAIR, "label")))
 er("balanced_sample", _LABEL_SQL + f", ct AS (SELECT count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS q FROM lb), tk AS (SELECT least(p, greatest(250, 500 - q)) AS ones, least(q, 500 - least(p, greatest(250, 500 - q))) AS zeros FROM ct), rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_BUCKET.format('pair', 1337)}, pair) AS r FROM (SELECT *, s1_id||'|'||noisy_id AS pair FROM lb)) SELECT s1_id, noisy_id, label::BIGINT AS label FROM rk, tk WHERE r <= CASE WHEN label = 1 THEN ones ELSE zeros END")(lambda e: rounded(sampling.balanced(_labelled_c(e).withColumn("pair", F.concat_ws("|", *blocking.PAIR)), "pair", 500).select(*blocking.PAIR, "label")))
 er("capped_examples", "SELECT country, entity_id, r AS rank FROM (SELECT country, entity_id, row_number() OVER (PARTITION BY country ORDER BY entity_id) AS r FROM nz) WHERE r <= 5")(lambda e: rounded(sampling.capped(e.noisy, ["country"], 5).select("country", "entity_id", "rank")))
-_NEGATIVES = {"same_name": ("nn", 5), "same_address": ("na", 5), "same_country": ("country", 50)}
+# at the reference's limits; the SQL of the smaller ones above has theirs written out
+er("balanced_sample_500000", _LABEL_SQL + f", ct AS (SELECT count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS q FROM lb), tk AS (SELECT least(p, greatest(250000, 500000 - q)) AS ones, least(q, 500000 - least(p, greatest(250000, 500000 - q))) AS zeros FROM ct), rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_BUCKET.format('pair', 1337)}, pair) AS r FROM (SELECT *, s1_id||'|'||noisy_id AS pair FROM lb)) SELECT s1_id, noisy_id, label::BIGINT AS label FROM rk, tk WHERE r <= CASE WHEN label = 1 THEN ones ELSE zeros END")(lambda e: rounded(sampling.balanced(_labelled_c(e).withColumn("pair", F.concat_ws("|", *blocking.PAIR)), "pair").select(*blocking.PAIR, "label")))
+er("capped_examples_2000", "SELECT country, entity_id, r AS rank FROM (SELECT country, entity_id, row_number() OVER (PARTITION BY country ORDER BY entity_id) AS r FROM nz) WHERE r <= 2000")(lambda e: rounded(sampling.capped(e.noisy, ["country"], 2000).select("country", "entity_id", "rank")))
+_NEGATIVES = {"same_name": ("nn", 5), "same_address": ("na", 5), "same_country": ("country", 2000)}
 
 
 def _negatives_sql(column: str, cap: int) -> str:
@@ -444,7 +449,7 @@ SELECT threshold, round(f,6) AS macro_f05, round(p,6) AS mean_precision, round(r
 )
 
 
-def train_matcher(e: Entities, iterations: int = 20):
+def train_matcher(e: Entities, iterations: int = 100):
     """The model and the scored validation pairs: bounded candidates, hard negatives, a split by S1 id."""
     pairs = labelled(_bounded(e).select(*blocking.PAIR), e.truth).join(e.noisy.select(F.col("entity_id").alias("noisy_id"), "src"), "noisy_id")
     pairs = sampling.split(pairs, "s1_id")

@@ -43,8 +43,20 @@ def test_grids_are_whole(spark):
         assert {tuple(r) for r in run(spark, f"block_h_{k}").select(*blocking.PAIR).collect()} == plain(noisy, k)
 
 
-@pytest.mark.parametrize("name", ["negatives_rule_e_all"])
+@pytest.mark.parametrize("name", ["negatives_rule_e_all", "sample_entities_20000", "balanced_sample_500000", "capped_examples_2000", "neg_same_country", "pos_vs_neg"])
 def test_wider_queries_on_more_rows(spark, name):
     from tests import oracle
 
     assert oracle.compare(spark, catalog.QUERIES, catalog.ORACLE_SQL, name, SF) > 0
+
+
+def test_limits_of_the_reference(spark, monkeypatch):
+    assert run(spark, "sample_entities_20000").count() == 750 and run(spark, "balanced_sample_500000").count() == 12079
+    assert run(spark, "capped_examples_2000").count() == 1464
+    pool = {r[0] for r in run(spark, "neg_same_country").select("noisy_id").distinct().collect()}
+    assert len(pool) > 4 * 50
+    seen = []
+    monkeypatch.setattr(catalog.matcher, "fit_gbt", lambda train, iterations: seen.append(iterations))
+    monkeypatch.setattr(catalog.matcher, "score_gbt", lambda pairs, model: pairs.withColumn("score", pairs["label"]))
+    catalog.train_matcher(Entities.load(spark, SF))
+    assert seen == [100]
