@@ -56,7 +56,8 @@ BASE = (
 )
 #: Rules beyond the base ones.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # up to the END line if no other run of five hyphens comes before it, else the BEGIN line alone
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
     Rule("code_host", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abps]-[A-Za-z0-9-]{10,}"),
     Rule("payment", r"sk_live_[A-Za-z0-9]{16,}"),

@@ -127,6 +127,18 @@ def test_long_secrets(n):
     assert [x for x, s in zip(sql_spans(texts), spans, strict=True) if s[0][0] != "url_login"] == [joined(s) for s in spans if s[0][0] != "url_login"]
 
 
+def test_private_keys_up_to_their_end():
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + "Ab+/" * 400 + "==\n"
+    whole = begin + body + end
+    texts = [f"é {whole} x", f"{begin}{body}", f"{begin} lost\n{whole}", whole + whole, f"{begin}\\nAb=\\n{end}", f"{begin} a-b --- {end}", f"{begin}{end}", begin + "x" * 1_000_000, (begin + "-") * 3000]
+    n, h = len(whole), len(begin)
+    found = spans_of(texts)
+    assert [[s[1:] for s in f if s[0] == "private_key"] for f in found[:3]] == [[(2, 2 + n)], [(0, h)], [(0, h), (h + 6, h + 6 + n)]]
+    assert [[s[1:] for s in f if s[0] == "private_key"] for f in found[3:8]] == [[(0, n), (n, 2 * n)], [(0, len(texts[4]))], [(0, len(texts[5]))], [(0, len(texts[6]))], [(0, h)]]
+    assert sql_spans(texts) == [joined(f) for f in found]
+
+
 def test_web_tokens_of_many_starts():
     """What is skipped holds no match; linear in the length of a run."""
     head, end = "eyJ" + "a" * 8, "s" * 8
