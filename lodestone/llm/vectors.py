@@ -4,8 +4,8 @@ Vectors of equal labels (not null) whose cosine is ``least`` or more are linked.
 into one first. A k-means on the unit sphere, fitted on the ``MAX_FIT`` vectors with the smallest hashes, deals all
 vectors to cells, and within a label only vectors that meet in a cell are compared. A neighbour may lie beyond the
 border to another cell, so each vector is also a guest of the cells whose border is near: those c for which
-x.(home - c) / |home - c| is at most ``margin(least, dim)``, the distance that a neighbour in a random direction exceeds
-about once in ten thousand times. A pair counts where one of the two is at home; if either is the other's guest, then in
+x.(home - c) / |home - c| is at most ``margin(least)``, half the longest chord of a linked pair. The distances of two
+vectors from the border between their homes add up to at most their chord, so one is the other's guest. A pair counts where one of the two is at home; if either is the other's guest, then in
 the cell of the lower number. Products are in double precision. Cells of more than ``BLOCK`` vectors are cut into pairs
 of blocks, each a task of its own; a task returns each vector's number of links and a spanning forest, not the pairs.
 
@@ -33,8 +33,8 @@ MAX_CELLS = 1024
 BLOCK = 4096
 
 
-def margin(least: float, dim: int) -> float:
-    return min(1.0, math.sqrt(max(0.0, 1 - least * least))) * min(1.0, 3.8 / math.sqrt(max(1, dim - 1)))
+def margin(least: float) -> float:
+    return math.sqrt(max(0.0, 2 - 2 * least)) / 2 + 1e-9  # more than rounding takes
 
 
 def fit_cells(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -96,7 +96,7 @@ def similar_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 c = centres.get(dim)
-                home, guest = homes_and_guests(x, c, margin(least, dim)) if c is not None else (np.zeros(len(at), np.int64), np.zeros((len(at), 1), dtype=bool))
+                home, guest = homes_and_guests(x, c, margin(least)) if c is not None else (np.zeros(len(at), np.int64), np.zeros((len(at), 1), dtype=bool))
                 row, cell_of = np.nonzero(guest)
                 every, where = np.concatenate([np.arange(len(at)), row]), np.concatenate([home, cell_of])
                 lists = [np.flatnonzero(g).astype("<i4").tobytes() for g in guest]

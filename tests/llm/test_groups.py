@@ -111,6 +111,20 @@ def test_vectors(spark, block, cell):
     assert vectors.similar_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim,inner", [(64, 64), (384, 3), (768, 8)])
+def test_linked_vectors_meet_in_a_cell(dim, inner):
+    """Of 23 cells; vectors whose intrinsic dimensions are few vary across the borders."""
+    rng = np.random.default_rng(7)
+    centre, base = rng.normal(size=(60, inner)), np.linalg.qr(rng.normal(size=(dim, inner)))[0]
+    x = (centre[rng.integers(60, size=3000)] + 0.25 * rng.normal(size=(3000, inner))) @ base.T
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = vectors.fit_cells(x, 23)
+    home, guest = vectors.homes_and_guests(x, centres, vectors.margin(0.93))
+    assert len(np.unique(home)) > 15
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    assert len(a) > 1000 and np.all((home[a] == home[b]) | guest[a, home[b]] | guest[b, home[a]])
+
+
 def test_vector_recall(spark):
     sf = "/root/testdata/check_s"
     rows = queries.table(spark, sf, "embeddings").collect()
