@@ -1,28 +1,35 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line is what stands between line feeds, without white space (ASCII) at its ends; blank lines stay and match nothing.
-A line is removed if an earlier line (smaller document id, or same document and further up) is equal, or, for lines of at
-least ``LEAST_LENGTH`` code points, within edit distance 1 (insert, delete or change one code point). "Earlier" is judged
-on the input, whether the earlier line stays or not, so of every group of such lines the earliest stays.
+A line is removed if an earlier line is equal, or, for lines of at least ``LEAST_LENGTH`` code points, within edit distance
+1 (insert, delete or change one code point). "Earlier" is judged on the input, whether the earlier line stays or not, so of
+every group of such lines the earliest stays.
 
-1. Lines become hashes in one narrow pass. Equal lines are folded to their first occurrence, pre-aggregated.
+1. Lines become 128-bit BLAKE2b digests in one narrow pass. Equal lines are folded to their first occurrence,
+   pre-aggregated, and numbered.
 2. Two lines within distance 1 agree on one half, up to the edit. Each line has keys of its halves, for its own length
    and for the next shorter one; only lines that share such a key with another go on.
 3. Of these, all variants within the bound are emitted as hashed keys (the line itself, and the line without each of its
-   code points, with that point's place) and joined by equality: lines of one variant and place are within distance 1 of
-   each other, and of the line that is the variant itself. The earliest of each such group is the witness against the
-   others, so no pairs are emitted; a group has at most one line for each character of the alphabet and place.
+   code points, with that point's place) and joined by equality, of the hashes first and then of the variants' own texts:
+   lines of one variant and place are within distance 1 of each other, and of the line that is the variant itself. The
+   earliest of each such group is the witness against the others, so no pairs are emitted; a group has at most one line
+   for each character of the alphabet and place.
 4. Each witness is verified by the edit distance of the lines' texts.
 
-The joins are on hashes of folded lines; only the last join, by document id, brings back the texts.
+The joins are on digests and numbers of folded lines; only the last join, by row, brings back the texts.
 
-Nulls stay null, empty texts empty. Rows of one document id aren't told apart: their lines aren't removed for equal ones
-of each other. Null ids come last.
-A document of which no line is left but that had lines which weren't blank is dropped by ``drop_emptied``.
+A row is known by its id and 60 bits of its text's SHA-256. Rows are ordered by id (nulls last), and rows of one id with
+different texts by those bits, so of an equal line in two of them the one with the smaller bits keeps it. Rows that repeat
+an id and a text are alike: none is earlier than another. Within a text, lines are ordered by place. Nulls stay null, empty
+texts empty, an empty table gives no rows. Texts are read whole, a long one as a slice of its own. An input column whose name
+(in any case) is that of an output is replaced by it. A document of which no line is left but that had lines which weren't
+blank is dropped by ``drop_emptied``.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,11 +44,26 @@ LEAST_LENGTH = 20
 LAST = (1 << 63) - 1
 
 KEYS = ["k0", "k1", "k2", "k3"]
-#: again: an equal line stands earlier in the same text, or in another document of the same slice.
-PLACED = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc", "line", "hash")], T.StructField("again", T.BooleanType())])
+#: h1, h2: the digest; again: an equal line stands earlier in the same text, or in another one of the same slice.
+PLACED = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc", "row", "line", "h1", "h2")], T.StructField("again", T.BooleanType())])
 LINES = T.StructType([*PLACED.fields, *[T.StructField(k, T.LongType()) for k in KEYS]])
 
 
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of each data[start:end], as two numbers."""
+    view = memoryview(np.ascontiguousarray(data))
+    made = b"".join(hashlib.blake2b(view[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(made, dtype=np.int64).reshape(-1, 2)
+
+
+def rows_of(docs: DataFrame, doc_id: str, text: str, *others) -> DataFrame:
+    """doc and row, by which rows are ordered and known, and the text; others: columns of docs."""
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} must be of an integer type")
+    value = F.col(f"`{text}`").cast("string")
+    return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc"), textbuf.text_bits(value).alias("row"), value.alias("__text"), *others)
+
+
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, number in the row, start, end) of all lines that aren't blank, by byte and without white space at their ends."""
     feed = np.flatnonzero(data == 10)
@@ -67,7 +89,7 @@ def half_keys(prefix: np.ndarray, points: np.ndarray, start: np.ndarray, end: np
     """Four keys of each line: prefix and suffix for lines of its own length, and for lines one shorter."""
     c0, c1 = np.searchsorted(points, start), np.searchsorted(points, end)
     n = c1 - c0
-    at = np.append(points, len(prefix) - 1)
+    at = np.append(points, prefix.shape[1] - 1)
     keys = []
     for shorter, skip in ((0, 0), (1, 1)):
         family = (n - shorter).astype(np.uint64)
@@ -78,89 +100,85 @@ def half_keys(prefix: np.ndarray, points: np.ndarray, start: np.ndarray, end: np
     return np.stack(keys, axis=1)
 
 
-def lines_of(docs: DataFrame, doc_id: str, text: str, with_keys: bool = True) -> DataFrame:
-    """A row a line: document, line number, content hash, whether it is a repeat, keys of halves (none for short lines)."""
-    source = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+def lines_of(docs: DataFrame, doc_id: str, text: str, least_length: int, with_keys: bool = True) -> DataFrame:
+    """A row a line: its row and place, digest, whether it is a repeat, keys of halves (none for short lines)."""
     schema = LINES if with_keys else PLACED
 
     def run(batches):
         for batch in batches:
-            for part in textbuf.slices(batch, 1):
-                data, offsets = textbuf.flat(part.column(1))
-                row, number, start, end = line_spans(data, offsets)
-                prefix = textbuf.prefix_hashes(data)
-                h = textbuf.span_hashes(prefix, start, end)
-                doc = part.column(0).to_numpy()[row]
-                order = np.lexsort((number, row, doc, h))
+            for part in textbuf.slices(batch, 2):
+                data, offsets = textbuf.flat(part.column(2))
+                owner, number, start, end = line_spans(data, offsets)
+                h = digests(data, start, end)
+                doc, row = (part.column(k).to_numpy()[owner] for k in (0, 1))
+                order = np.lexsort((number, row, doc, h[:, 1], h[:, 0]))
                 same = np.zeros(len(h), dtype=bool)
-                same[1:] = h[order[1:]] == h[order[:-1]]
-                lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))]
-                beside = np.zeros(len(h), dtype=bool)
-                beside[1:] = row[order[1:]] == row[order[:-1]]
-                again = np.zeros(len(h), dtype=bool)
-                again[order] = same & ((doc[order] != doc[lead]) | beside)
-                columns = [part.column(0).take(pa.array(row)), pa.array(number), pa.array(h.view(np.int64)), pa.array(again)]
+                same[1:] = (h[order[1:]] == h[order[:-1]]).all(axis=1)
+                lead = np.empty(len(h), dtype=np.int64)
+                lead[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))]
+                again = (doc != doc[lead]) | (row != row[lead]) | (number != number[lead])
+                columns = [pa.array(doc), pa.array(row), pa.array(number), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(again)]
                 if with_keys:
                     points = np.flatnonzero((data & 0xC0) != 0x80)
-                    long = np.searchsorted(points, end) - np.searchsorted(points, start) >= LEAST_LENGTH
+                    long = np.searchsorted(points, end) - np.searchsorted(points, start) >= least_length
                     keys = np.zeros((len(start), 4), dtype=np.uint64)
-                    keys[long] = half_keys(prefix, points, start[long], end[long])
+                    keys[long] = half_keys(textbuf.prefix_hashes(data), points, start[long], end[long])
                     columns += [pa.array(keys[:, k].view(np.int64), mask=~long) for k in range(4)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return rows_of(docs, doc_id, text).mapInArrow(run, schema)
 
 
-VARIANTS = T.StructType([T.StructField("variant", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("content", T.StringType())])
+VARIANTS = T.StructType([T.StructField("variant", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("lid", T.LongType()), T.StructField("content", T.StringType())])
 
 
 def variants(content: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the line (place -1) and of the line without each code point, with that point's place."""
-    data = np.frombuffer(content.encode("utf-32-le"), dtype=np.uint32)
+    data = np.frombuffer(content.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
     n = len(data)
-    up, down = textbuf._powers(n + 1)
-    terms = textbuf.mix(data.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(terms * up[:n], out=total[1:])
-    without = total[:-1] + (total[-1] - total[1:]) * down[1]
-    return np.concatenate([textbuf.mix(total[-1:] + np.uint64(n)), textbuf.mix(without + np.uint64(n - 1))]), np.arange(-1, n, dtype=np.int32)
+    up, down = textbuf._powers(max(2, n))
+    out = np.zeros(n + 1, dtype=np.uint64)
+    for power, inverse in zip(up, down, strict=True):
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(textbuf.residues(data * power[:n]), out=total[1:])
+        without = total[:-1] + textbuf.residues(total[-1] - total[1:]) * np.uint64(inverse[1])
+        out = out << np.uint64(31) | textbuf.residues(np.append(total[-1:], without))
+    return textbuf.mix(out), np.arange(-1, n, dtype=np.int32)
 
 
-def removed_lines(docs: DataFrame, doc_id: str, text: str, source: DataFrame) -> DataFrame:
-    """(document, line numbers to remove); source: doc, __text and what else goes with them, of docs.
+def removed_lines(docs: DataFrame, doc_id: str, text: str, source: DataFrame, least_length: int) -> DataFrame:
+    """(doc, row, line numbers to remove); source: doc, row, __text and what else goes with them, of docs.
 
-    The texts are taken from source with all its columns, so that the caller's own join on doc can use the same shuffle.
+    The texts are taken from source with all its columns, so that the caller's own join can use the same shuffle.
     """
-    # one number at a time, which keeps these partial sums in hash tables
-    lines = lines_of(docs, doc_id, text)
-    folded = lines.where("not again").groupBy("hash").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), *[F.first(k).alias(k) for k in KEYS])
-    folded = shared.written(folded, "lines")
-    keyed = folded.where("k0 is not null").select("hash", F.explode(F.array(*KEYS)).alias("key")).repartition("key")
-    common = keyed.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low != high").select("key")
-    some = keyed.join(common, "key", "left_semi").select("hash").distinct().join(folded.select("hash", "doc", "line"), "hash")
-    asked = some.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line", "hash"))).alias("asked"))
-    some = some.select("hash", F.struct("doc", "line").alias("first"))
+    lines = lines_of(docs, doc_id, text, least_length)
+    folded = lines.where("not again").groupBy("h1", "h2").agg(F.min(F.struct("doc", "row", "line")).alias("first"), *[F.first(k).alias(k) for k in KEYS])
+    # the numbers are those of the table once it is written
+    folded = shared.written(folded.withColumn("lid", F.monotonically_increasing_id()), "lines")
+    keyed = folded.where("k0 is not null").select("lid", F.explode(F.array(*KEYS)).alias("key")).repartition("key")
+    common = keyed.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).where("low != high").select("key")
+    some = keyed.join(common, "key", "left_semi").select("lid").distinct().join(folded.select("lid", "h1", "h2", "first"), "lid")
+    asked = some.groupBy("first.doc", "first.row").agg(F.sort_array(F.collect_list(F.struct("first.line", "h1", "h2", "lid"))).alias("asked"))
 
     def emit(batches):
         for batch in batches:
             for part in textbuf.slices(batch, 0):
                 data, offsets = textbuf.flat(part.column(0))
-                row, number, start, end = line_spans(data, offsets)
-                hashes = textbuf.span_hashes(textbuf.prefix_hashes(data), start, end).view(np.int64)
-                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                owner, number, start, end = line_spans(data, offsets)
+                cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 out = [[], [], [], []]
                 size = 0
                 for k, wanted in enumerate(part.column(1).to_pylist()):
-                    have = {(int(number[i]), int(hashes[i])): i for i in range(cut[k], cut[k + 1])}
+                    at = {int(number[i]): i for i in range(cut[k], cut[k + 1])}
                     for w in wanted:
-                        i = have.get((w["line"], w["hash"]))
-                        if i is None:
-                            continue  # another row of a repeated id
+                        i = at.get(w["line"])
+                        if i is None or digests(data, start[i : i + 1], end[i : i + 1]).tolist() != [[w["h1"], w["h2"]]]:
+                            continue  # another text of the same id and bits
                         content = data[start[i] : end[i]].tobytes().decode()
                         v, place = variants(content)
                         out[0].append(v)
                         out[1].append(place)
-                        out[2].append(np.full(len(v), w["hash"]))
+                        out[2].append(np.full(len(v), w["lid"]))
                         out[3].append(pa.array([content] + [None] * (len(v) - 1), pa.string()))
                         size += len(v)
                         if size > 200_000:
@@ -169,39 +187,38 @@ def removed_lines(docs: DataFrame, doc_id: str, text: str, source: DataFrame) ->
                 if size:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2])), pa.concat_arrays(out[3])], names=VARIANTS.names)
 
-    joined = source.join(asked.hint("shuffle_hash"), "doc")
-    emitted = joined.select("__text", "asked", *[c for c in source.columns if c not in ("doc", "__text")]).mapInArrow(emit, VARIANTS)
-    content = emitted.where("place = -1").select("hash", "content").dropDuplicates(["hash"])
-    ranked = emitted.select("variant", "place", "hash")
+    joined = source.join(asked.hint("shuffle_hash"), ["doc", "row"])
+    emitted = joined.select("__text", "asked", *[c for c in source.columns if c not in ("doc", "row", "__text")]).mapInArrow(emit, VARIANTS)
+    content = emitted.where("place = -1").select("lid", "content").dropDuplicates(["lid"])
     by_variant = Window.partitionBy("variant")
-    met = ranked.withColumn("low", F.min("hash").over(by_variant)).withColumn("high", F.max("hash").over(by_variant)).where("low != high").select("variant", "place", "hash")
-    met = met.join(some, "hash")
-    mine = F.struct(F.col("first"), F.col("hash"))
-    itself = F.min(F.when(F.col("place") == -1, mine)).over(by_variant)
-    deleted = F.min(F.when(F.col("place") >= 0, mine)).over(by_variant)
-    same_place = F.min(F.when(F.col("place") >= 0, mine)).over(Window.partitionBy("variant", "place"))
-    witness = F.when(F.col("place") == -1, deleted).otherwise(F.least(itself, same_place))
-    accused = met.withColumn("witness", witness).where(F.col("witness.first") < F.col("first")).select("hash", F.col("witness.hash").alias("by"))
-    proven = accused.distinct().join(content, "hash").join(content.select(F.col("hash").alias("by"), F.col("content").alias("earlier")), "by")
-    near = proven.where(F.levenshtein("content", "earlier", 1) >= 0).select("hash").distinct().withColumn("near", F.lit(True))
-    verdicts = folded.select("hash", F.col("doc").alias("low")).join(near, "hash", "left")
-    # lines that a slice has settled are dealt by their places, so a very common line sends few rows to its hash
-    placed = lines_of(docs, doc_id, text, with_keys=False)
-    placed = placed.withColumn("hash", F.when(F.col("again"), F.xxhash64("doc", "line")).otherwise(F.col("hash")))
-    gone = placed.join(verdicts, "hash", "left").where(F.col("again") | F.col("near").isNotNull() | (F.col("doc") != F.col("low")))
-    return gone.groupBy("doc").agg(F.collect_set("line").alias("__gone"))
+    met = emitted.select("variant", "place", "lid").withColumn("low", F.min("lid").over(by_variant)).withColumn("high", F.max("lid").over(by_variant))
+    met = met.where("low != high").select("variant", "place", "lid").join(some.select("lid", "first").join(content, "lid"), "lid")
+    met = met.withColumn("itself", F.expr("CASE WHEN place < 0 THEN content ELSE concat(substring(content, 1, place), substring(content, place + 2)) END"))
+    mine = F.struct("first", "lid", "content")
+    exactly = Window.partitionBy("variant", "itself")
+    whole = F.min(F.when(F.col("place") == -1, mine)).over(exactly)
+    deleted = F.min(F.when(F.col("place") >= 0, mine)).over(exactly)
+    same_place = F.min(F.when(F.col("place") >= 0, mine)).over(Window.partitionBy("variant", "itself", "place"))
+    met = met.withColumn("witness", F.when(F.col("place") == -1, deleted).otherwise(F.least(whole, same_place)))
+    near = met.where((F.col("witness.first") < F.col("first")) & (F.levenshtein("content", "witness.content", 1) >= 0)).select("lid").distinct().withColumn("near", F.lit(True))
+    verdicts = folded.select("lid", "h1", "h2", "first").join(near, "lid", "left").drop("lid")
+    # lines that a slice has settled are dealt by their places, so a very common line sends few rows to its digest
+    placed = lines_of(docs, doc_id, text, least_length, with_keys=False)
+    placed = placed.withColumn("h1", F.when(F.col("again"), F.xxhash64("row", "line")).otherwise(F.col("h1")))
+    gone = placed.join(verdicts, ["h1", "h2"], "left").where(F.col("again") | F.col("near").isNotNull() | (F.struct("doc", "row", "line") != F.col("first")))
+    return gone.groupBy("doc", "row").agg(F.collect_set("line").alias("__gone"))
 
 
 STATE = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("emptied", T.BooleanType()), T.StructField("deduped", T.StringType())])
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, least_length: int = LEAST_LENGTH) -> DataFrame:
     """``keep`` columns (default: all) of docs with n_lines (not blank), n_removed, emptied, and the text that is left, deduped."""
     taken = {f.name for f in STATE.fields}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
-    source = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc"), F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(kept)])
-    gone = removed_lines(docs, doc_id, text, source)
-    joined = source.join(gone.hint("shuffle_hash"), "doc", "left").select("__text", "__gone", *[f"__in{k}" for k in range(len(kept))])
+    source = rows_of(docs, doc_id, text, *[F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(kept)])
+    gone = removed_lines(docs, doc_id, text, source, least_length)
+    joined = source.join(gone.hint("shuffle_hash"), ["doc", "row"], "left").select("__text", "__gone", *[f"__in{k}" for k in range(len(kept))])
     schema = T.StructType([*joined.schema.fields[2:], *STATE.fields])
 
     def run(batches):

@@ -1,28 +1,35 @@
 """N-gram Jaccard join by an LSH forest of MinHash signatures.
 
 A text's shingles are its runs of ``WORDS`` consecutive words (runs of 0-9, a-z and characters beyond ASCII after A-Z are
-lower-cased; a text of fewer words, but not none, has one shingle of them all). Texts of equal shingle sets form a class,
-represented by its smallest id, and classes are linked when the Jaccard similarity of their sets is ``LEAST`` or more.
-
-1. Signatures: ``TREES`` trees of ``DEPTH`` MinHash values each; a tree's values are the path of a text in a prefix trie.
-2. Matched prefixes start at the full depth and are shortened until pairs of the least similarity share one, in at
-   least one tree, with probability ``RECALL``: 1 - (1 - LEAST**depth)**TREES. The shuffle is by the prefix of that
-   final depth; within such a bucket, sorted by path, deeper prefixes come first, and what they have joined isn't
-   compared again at a shorter one. A bucket is compared by the share of equal values of the whole signatures
-   (``TREES * DEPTH`` values; five standard deviations below LEAST still pass) and gives a spanning forest, not pairs.
+lower-cased; a text of fewer words, but not none, has one shingle of them all). Texts of equal words (by 128 bits of the
+words' SHA-256) form a class, and classes are linked when the Jaccard similarity of their shingle sets is ``LEAST`` or more.
+
+1. Signatures: ``TREES`` paths of ``DEPTH`` MinHash values of 8 bits each, a path one 64-bit number; a tree is the prefix
+   trie of all paths of one place, and its nodes are the prefixes of the sorted numbers.
+2. Matched prefixes start at the full depth. The classes below a node are compared, but for those that deeper nodes have
+   joined already, by the share of equal values of the whole signatures (``TREES * DEPTH`` values; five standard deviations
+   below LEAST still pass), which gives a spanning forest, not pairs. Each link that was found tells how likely nodes of
+   this depth are to find one like it: links of similarity s share one with probability p = 1 - (1 - s**depth)**TREES, so
+   that 1 / p of them exist for each that was found. As long as the links found are fewer than ``RECALL`` of the links so
+   estimated, prefixes are shortened by one value, for all trees. Similarities below LEAST count as LEAST, so the search
+   ends at depth 6 at the latest (0.8, 32 trees, 0.9999), and earlier where a corpus's copies are closer.
 3. Components of these forests hold all candidates. Their texts are fetched once, and within a component the exact
-   similarities come from posting lists of the whole shingle sets: each text gets its number of links, and each
-   component a spanning forest of verified links, whose components are the result.
+   similarities come from posting lists of the whole shingle sets (by 64-bit hashes of bases drawn for each run): each
+   class gets its number of links, and each component a spanning forest of verified links, whose components are the result.
 
-Buckets and components of more than ``BLOCK`` texts are cut into pairs of blocks, each a task of its own, so every two
-texts of a group still meet and no task holds a group. Copies are never expanded: they count by the size of their class.
+Nodes and components of more than ``BLOCK`` classes are cut into pairs of blocks, each a task of its own, so every two
+classes of a group still meet and no task holds a group. Copies are never expanded: they count by the size of their class.
 
 Nulls, empty texts and texts without words have no shingles: no links, a class of their own. Null ids: no links, null
-class. Repeated rows are copies of each other. Texts are compared whole.
+class_id; they count as copies of others. Repeated rows are copies of each other; rows of one id with different texts are
+judged each by its own text. Texts are compared whole, long ones too. An empty table gives no rows. Only the id and the text
+are read, so other columns' names can't clash; keep_one_of_each() returns the documents' own columns.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,11 +47,15 @@ BLOCK = 2048
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def final_depth(least: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix that is short enough for the target recall."""
-    while depth > 1 and 1 - (1 - least**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def found_share(similarity: float, depth: int) -> float:
+    """How likely two classes are to share a prefix of this depth in a tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def estimated_recall(equal: dict[int, int], depth: int, least: float) -> float:
+    """Links found, by their number of equal values, as a share of those that there must be for so many to be found."""
+    there = sum(n / found_share(max(least, e / (TREES * DEPTH)), depth) for e, n in equal.items())
+    return sum(equal.values()) / there if there else 1.0
 
 
 def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,114 +96,147 @@ def signatures(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[where], out
 
 
-SIGNED = T.StructType([T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("signature", T.BinaryType()), T.StructField("prefixes", T.ArrayType(T.LongType()))])
+SIGNED = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("paths", T.ArrayType(T.LongType()))])
 
 
-def sign(column: pa.Array, words: int, depth: int) -> list[pa.Array]:
-    """Of each text: a 128-bit fingerprint of its shingle set, 8 bits of each MinHash value, a hash of each tree's prefix."""
-    row, h = shingles(column, words)
-    rows, values = signatures(row, h)
-    n = len(column)
-    where = np.searchsorted(row, rows)
-    f1, f2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    if len(rows):
-        f1[rows] = np.add.reduceat(textbuf.mix(h), where)
-        f2[rows] = np.add.reduceat(textbuf.mix(h ^ _STEP), where)
+def words_keys(column: pa.Array) -> list[bytes | None]:
+    """128 bits that tell each text's words; None without words."""
+    raw, offsets = textbuf.flat(column)
+    data = textbuf.lower_table()[raw]
+    start, end, bounds = textbuf.word_spans(data, offsets)
+    size = end - start
+    inside = np.flatnonzero(textbuf.word_table()[data])
+    plain = np.full(len(inside) + len(size), 32, dtype=np.uint8)  # a space after each word
+    plain[np.arange(len(inside)) + np.repeat(np.arange(len(size)), size)] = data[inside]
+    ends = np.concatenate([[0], np.cumsum(size + 1)])[bounds].tolist()
+    view = memoryview(plain)
+    return [hashlib.sha256(view[i:j]).digest()[:16] if i < j else None for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def sign(column: pa.Array, words: int) -> list[pa.Array]:
+    """Of each text: the key of its words, and its path in each tree."""
+    rows, values = signatures(*shingles(column, words))
     short = ((values * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
-    prefix = np.zeros((len(rows), TREES), dtype=np.uint64)
-    for k in range(depth):
-        prefix = textbuf.mix(prefix * _STEP + values.reshape(-1, TREES, DEPTH)[:, :, k])
-    prefix = textbuf.mix(prefix + np.arange(1, TREES + 1, dtype=np.uint64) * _STEP)
-    has = np.zeros(n, dtype=bool)
-    has[rows] = True
-    packed = iter(s.tobytes() for s in short)
-    offsets = np.concatenate([[0], np.cumsum(np.where(has, TREES, 0))]).astype(np.int32)
-    return [pa.array(f1.view(np.int64), mask=~has), pa.array(f2.view(np.int64), mask=~has), pa.array([next(packed) if x else None for x in has], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.ravel().view(np.int64)))]
-
-
-def join_bucket(sig: np.ndarray, tree: int, depth: int, least_equal: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) of a spanning forest of a bucket's candidates, deeper prefixes first."""
-    n = len(sig)
-    root = np.arange(n)
-    path = sig[:, tree * DEPTH + depth : (tree + 1) * DEPTH]
-    for length in range(DEPTH - depth, -1, -1):
-        _, trie = np.unique(path[:, :length], axis=0, return_inverse=True) if length else (None, np.zeros(n, np.int64))
-        order = np.argsort(trie.ravel(), kind="stable")
-        for node in np.split(order, np.flatnonzero(np.diff(trie.ravel()[order])) + 1):
-            if len(node) < 2 or (root[node] == root[node[0]]).all():
-                continue
-            waiting = node.tolist()
-            while waiting:  # each member meets those that its component doesn't hold yet
-                i = waiting.pop()
-                apart = node[root[node] != root[i]]
-                if not len(apart):
-                    if (root[node] == root[node[0]]).all():
-                        break
-                    continue
-                near = apart[(sig[apart] == sig[i]).sum(axis=1) >= least_equal]
-                for r in np.unique(root[near]).tolist():
-                    low, high = min(r, root[i]), max(r, root[i])
-                    root[root == high] = low
-    moved = np.flatnonzero(root != np.arange(n))
-    return moved, root[moved]
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """One row a document: id, class_id (the smallest id that it reaches by links), n_links, copy_of (its class's id)."""
-    depth = final_depth(least, recall)
-    short = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    signed = shared.cut(textbuf.annotate(short, "text", SIGNED, lambda column: sign(column, words, depth), ["id"]))
-    kind = signed.schema["id"].dataType
-    classes = shared.cut(signed.where("f1 is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("rep is not null"))
-    reps = signed.join(classes.select("f1", "f2", F.col("rep").alias("id"), "n"), ["f1", "f2", "id"]).dropDuplicates(["id"])
-
-    # buckets of at least two, by tree and prefix
-    paths = reps.select("id", F.posexplode("prefixes").alias("tree", "prefix"))
-    shared_paths = paths.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1")
-    members = paths.join(shared_paths, ["tree", "prefix"]).join(reps.select("id", "signature"), "id")
-    order = ["tree", "prefix", "lo", "hi"]
-    tasks = groups.block_pairs(members, "size", F.xxhash64("id"), block).select(*order, "id", "signature")
+    path = np.ascontiguousarray(short).view(">i8").astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(column)) * TREES)]).astype(np.int32)
+    return [pa.array(words_keys(column), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(path.ravel()))]
+
+
+def join_node(sig: np.ndarray, component: np.ndarray, least_equal: int) -> tuple[list[int], list[int], list[int]]:
+    """(member, other, equal values) of a spanning forest of a node's candidates; component: what is joined already."""
+    _, at, root = np.unique(component, return_index=True, return_inverse=True)
+    root = at[root.ravel()]
+    a, b, equal = [], [], []
+    waiting = list(range(len(sig)))
+    while waiting:  # each member meets those that its component doesn't hold yet
+        i = waiting.pop()
+        apart = np.flatnonzero(root != root[i])
+        if not len(apart):
+            break
+        same = (sig[apart] == sig[i]).sum(axis=1)
+        near = same >= least_equal
+        _, some = np.unique(root[apart[near]], return_index=True)
+        for j, e in zip(apart[near][some].tolist(), same[near][some].tolist(), strict=True):
+            a.append(i)
+            b.append(j)
+            equal.append(e)
+            low, high = min(root[i], root[j]), max(root[i], root[j])
+            root[root == high] = low
+    return a, b, equal
+
+
+LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("equal", T.IntegerType())])
+NODE = ["tree", "prefix", "lo", "hi"]
+
+
+def node_links(reps: DataFrame, joined: DataFrame | None, depth: int, least: float, block: int) -> DataFrame:
+    """Links between classes below the nodes of this depth; reps: cid, paths; joined: id, component of what is joined."""
+    paths = reps.select("cid", F.posexplode("paths").alias("tree", "path")).select("cid", "tree", F.shiftrightunsigned("path", 8 * (DEPTH - depth)).alias("prefix"))
+    if joined is not None:
+        paths = paths.join(joined.select(F.col("id").alias("cid"), "component"), "cid", "left")
+        paths = paths.withColumn("component", F.coalesce("component", "cid"))
+    else:
+        paths = paths.withColumn("component", F.col("cid"))
+    open_nodes = paths.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.min("component").alias("one"), F.max("component").alias("other")).where("one != other").select("tree", "prefix", "size")
+    members = paths.join(open_nodes, ["tree", "prefix"]).join(reps.select("cid", "paths"), "cid")
+    tasks = groups.block_pairs(members, "size", F.xxhash64("cid"), block).select(*NODE, "cid", "component", "paths")
     total = TREES * DEPTH
     least_equal = int(total * least - 5 * (total * least * (1 - least)) ** 0.5)
 
-    def candidates(batches):
-        for table in groups.keyed_runs(batches, order):
+    def run(batches):
+        for table in groups.keyed_runs(batches, NODE):
             table = table.combine_chunks()
-            sig = np.frombuffer(textbuf.flat(table.column("signature"))[0], dtype=np.uint8).reshape(-1, total)
-            keys = [table.column(k).to_numpy() for k in order]
-            ids = table.column("id").combine_chunks()
+            sig = table.column("paths").combine_chunks().flatten().to_numpy().astype(">i8").view(np.uint8).reshape(-1, total)
+            keys = [table.column(k).to_numpy() for k in NODE]
+            cid, component = table.column("cid").to_numpy(), table.column("component").to_numpy()
             edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             start, end = np.concatenate([[0], edge]), np.concatenate([edge, [table.num_rows]])
             two = start[end - start == 2]
-            near = two[(sig[two] == sig[two + 1]).sum(axis=1) >= least_equal]
-            a, b = [near + 1], [near]
+            two = two[component[two] != component[two + 1]]
+            same = (sig[two] == sig[two + 1]).sum(axis=1)
+            near = same >= least_equal
+            a, b, equal = [two[near] + 1], [two[near]], [same[near]]
             for s, e in zip(start.tolist(), end.tolist(), strict=True):
                 if e - s > 2:
-                    member, root = join_bucket(sig[s:e], int(keys[0][s]), depth, least_equal)
-                    a.append(member + s)
-                    b.append(root + s)
-            a, b = np.concatenate(a), np.concatenate(b)
+                    i, j, n = join_node(sig[s:e], component[s:e], least_equal)
+                    a.append(np.array(i, dtype=np.int64) + s)
+                    b.append(np.array(j, dtype=np.int64) + s)
+                    equal.append(np.array(n, dtype=np.int64))
+            a, b, equal = (np.concatenate(x) for x in (a, b, equal))
             if len(a):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(cid[a]), pa.array(cid[b]), pa.array(equal, pa.int32())], names=LINKS.names)
+
+    return tasks.repartition(*NODE).sortWithinPartitions(*NODE).mapInArrow(run, LINKS)
+
+
+def candidate_components(reps: DataFrame, least: float, recall: float, block: int) -> DataFrame:
+    """(id, component) of all classes that may have links, from prefixes shortened until the target recall."""
+    links, joined, equal = None, None, {}
+    for depth in range(DEPTH, 0, -1):
+        more = shared.cut(node_links(reps, joined, depth, least, block))
+        counts = {r["equal"]: r["count"] for r in more.groupBy("equal").count().collect()}  # TREES * DEPTH rows at most
+        for e, n in counts.items():
+            equal[e] = equal.get(e, 0) + n
+        if counts or links is None:
+            links = more if links is None else links.unionAll(more)
+            joined = components.connected_components(links)
+        # without links yet, what nodes of this depth would find of the least similar ones
+        if estimated_recall(equal or {round(least * TREES * DEPTH): 1}, depth, least) >= recall:
+            break
+    return joined
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """One row a document: id, class_id (the smallest id that it reaches by links), n_links, copy_of (its class's id)."""
+    found = judged_rows(docs, doc_id, text, least, words, recall, block)
+    return found.select(F.col("id").alias(doc_id), "class_id", "n_links", "copy_of")
 
-    pairs = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    rough = components.connected_components(tasks.repartition(*order).sortWithinPartitions(*order).mapInArrow(candidates, pairs))
 
-    # exact similarities within the rough components
-    rough = rough.join(classes.select(F.col("rep").alias("id"), "n"), "id").dropDuplicates(["id"])
+def judged_rows(docs: DataFrame, doc_id: str, text: str, least: float, words: int, recall: float, block: int) -> DataFrame:
+    """near_duplicates() with the id as "id", and bits of the text."""
+    short = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    signed = short.withColumn("bits", textbuf.text_bits(F.col("text")))
+    signed = shared.cut(textbuf.annotate(signed, "text", SIGNED, lambda column: sign(column, words), ["id", "bits"]))
+    classes = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("rep is not null")
+    # the numbers are those of the table once it is written
+    classes = shared.cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    reps = signed.join(classes.select("key", F.col("rep").alias("id"), "cid"), ["key", "id"]).select("cid", "paths").dropDuplicates(["cid"])
+
+    # exact similarities within the candidates' components
+    rough = candidate_components(reps, least, recall, block).withColumnRenamed("id", "cid").join(classes, "cid")
     sizes = rough.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = rough.join(sizes, "component").hint("shuffle_hash")
-    held = short.join(wanted, "id").select("id", "component", "n", "size", "text")
-    sets = T.StructType([T.StructField("shingles", T.BinaryType())])
+    wanted = rough.join(sizes, "component").withColumnRenamed("rep", "id").hint("shuffle_hash")
+    held = short.join(wanted, "id").select("cid", "key", "component", "n", "size", "text")
+    sets = T.StructType([T.StructField("own", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
     def pack(column: pa.Array) -> list[pa.Array]:
         row, h = shingles(column, words)
         cut = np.searchsorted(row, np.arange(len(column) + 1))
-        return [pa.array([np.sort(h[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())]
+        return [pa.array(words_keys(column), pa.binary()), pa.array([np.sort(h[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())]
 
-    packed = textbuf.annotate(held, "text", sets, pack, ["id", "component", "n", "size"]).dropDuplicates(["id"])
-    order2 = ["component", "lo", "hi"]
-    tasks2 = groups.block_pairs(packed, "size", F.xxhash64("id"), block // 4).select(*order2, "own", "id", "n", "shingles")
+    packed = textbuf.annotate(held, "text", sets, pack, ["cid", "key", "component", "n", "size"]).where("own = key").drop("own", "key").dropDuplicates(["cid"])
+    order = ["component", "lo", "hi"]
+    tasks = groups.block_pairs(packed, "size", F.xxhash64("cid"), block // 4).select(*order, "own", "cid", "n", "shingles")
     # similar by a/b: 1/least is exact enough for least given in hundredths
     hundredths = round(least * 100)
 
@@ -201,7 +245,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         h = np.frombuffer(data.tobytes(), dtype=np.uint64)
         size = np.diff(offsets) // 8
         m = len(size)
-        n, own = table.column("n").to_numpy(), table.column("own").to_numpy()
+        n, own, cid = (table.column(c).to_numpy() for c in ("n", "own", "cid"))
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         owner = np.repeat(np.arange(m), size)
         by = np.argsort(h, kind="stable")
@@ -227,30 +271,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             b.append(j)
         root = components.forest(m, np.concatenate(a), np.concatenate(b))
         moved, some = np.flatnonzero(root != np.arange(m)), np.flatnonzero(links)
-        ids = table.column("id").combine_chunks()
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate([some, moved]))), pa.concat_arrays([pa.nulls(len(some), ids.type), ids.take(pa.array(root[moved]))]), pa.array(np.concatenate([links[some], np.zeros(len(moved), np.int64)]))], names=["a", "b", "n"])
+        to = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(cid[root[moved]])])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([cid[some], cid[moved]])), to, pa.array(np.concatenate([links[some], np.zeros(len(moved), np.int64)]))], names=["a", "b", "n"])
 
     def exact(batches):
-        for table in groups.keyed_runs(batches, order2):
-            keys = [table.column(k).to_numpy() for k in order2]
+        for table in groups.keyed_runs(batches, order):
+            keys = [table.column(k).to_numpy() for k in order]
             edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             for s, e in zip([0, *edge.tolist()], [*edge.tolist(), table.num_rows], strict=True):
                 if e - s > 1 and (made := verify(table.slice(s, e - s))).num_rows:
                     yield made
 
-    found = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n", T.LongType())])
-    found = shared.cut(tasks2.repartition(*order2).sortWithinPartitions(*order2).mapInArrow(exact, found))
-    links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    reached = components.connected_components(found.where("b is not null")).withColumnRenamed("id", "rep")
-    per_class = classes.join(links, "rep", "left").join(reached, "rep", "left")
-    per_class = per_class.select("f1", "f2", "rep", F.coalesce("component", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select("id", "f1", "f2").join(per_class, ["f1", "f2"], "left")
+    found = shared.cut(tasks.repartition(*order).sortWithinPartitions(*order).mapInArrow(exact, "a long, b long, n long"))
+    links = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
+    reached = components.connected_components(found.where("b is not null")).withColumnRenamed("id", "cid")
+    least_id = reached.join(classes, "cid").groupBy("component").agg(F.min("rep").alias("class_id"))
+    per_class = classes.join(links, "cid", "left").join(reached.join(least_id, "component"), "cid", "left")
+    per_class = per_class.select("key", "rep", F.coalesce("class_id", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = signed.select("id", "bits", "key").join(per_class, "key", "left")
     named = F.col("id").isNotNull()
-    return out.select(F.col("id").alias(doc_id), F.when(named, F.coalesce("class_id", "id")).alias("class_id"), F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(named, F.coalesce("rep", "id")).alias("copy_of"))
+    return out.select("id", "bits", F.when(named, F.coalesce("class_id", "id")).alias("class_id"), F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(named, F.coalesce("rep", "id")).alias("copy_of"))
 
 
-def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are the smallest id of their class, with their own columns only; rows of null ids all stay."""
-    found = near_duplicates(docs, doc_id, text, **options)
-    gone = found.where(f"`{doc_id}` != class_id").select(F.col(f"`{doc_id}`").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """The rows whose id is the smallest of their class, with their own columns only; rows of null ids all stay."""
+    found = judged_rows(docs, doc_id, text, least, words, recall, block)
+    gone = found.where("class_id < id").select(F.col("id").alias("__id"), F.col("bits").alias("__bits")).distinct()
+    same = (F.col(f"`{doc_id}`") == F.col("__id")) & (textbuf.text_bits(F.col(f"`{text}`").cast("string")) == F.col("__bits"))
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")

@@ -6,24 +6,27 @@ further left) is removed; overlaps count, and strings are judged on the input. T
 The suffixes that are sorted are a sample which no repeat can miss. Each string of ``LENGTH`` bytes has an anchor: of its
 substrings of ``GRAM`` bytes the one with the smallest hash, the leftmost of equals. Equal strings have equal anchors at
 equal offsets, and the strings that share an anchor start in one run of places, so a text has an anchor for every 35
-bytes or so. An anchor's context is what its strings cover.
-
-1. Anchors are shuffled by the hash of their gram, but for those whose whole context stands earlier in the same slice of
-   texts, and sorted by gram, context hash and place. One streaming pass, which holds a row, tells the anchors whose
-   whole context stands earlier: all their strings go. Of the others, those whose gram has several contexts are asked
-   about further; they are the first of their context.
-2. For these the context's bytes are fetched. The anchors of a gram are suffixes, and reversed prefixes, that start at the
-   same byte; they are sorted by mergesort. Two are compared by their common extension, found by binary search on the
-   differences of polynomial prefix hashes, so a comparison takes log2(LENGTH) steps. Neighbours in the order are then
-   compared byte by byte; where a hash collided, the group is sorted again on its bytes. For every split of a string
-   into what stands left and right of the anchor, the runs of neighbours with long enough extensions on both sides are
-   the groups of equal strings, of which the earliest stays.
-3. Grams with more than ``MOST`` contexts, such as those of a very common line, don't go to one task: their strings are
-   dealt out by their own 128-bit hashes, and the earliest of each is found with partial minima.
-
-Equal texts are folded first: of those of at least ``LENGTH`` bytes all but the smallest id are removed whole. Null and
-empty texts: nothing to remove. Rows that repeat an id and text are alike, and none is earlier. Null ids come last. An
-empty table gives no rows.
+bytes or so. An anchor's context is what its strings cover. Hashes choose anchors and bring them together; what is removed
+has always been compared byte by byte (equal texts: by 128 bits of SHA-256).
+
+1. In a slice of texts, anchors whose context equals that of an earlier one, byte by byte, are settled: all their strings
+   go. The others meet by their gram. A gram sends one row a slice there, which says whether the slice has several; anchors
+   whose gram stands at another place or in another text too go on.
+2. Their contexts' bytes are fetched. The anchors of a gram are suffixes, and reversed prefixes, that start at the same
+   byte. Equal contexts are folded, the others sorted by mergesort: two are compared by their common extension, found by
+   binary search on the differences of polynomial prefix hashes, so a comparison takes log2(LENGTH) steps. Neighbours in
+   the order are then compared byte by byte; where a hash collided, the group is sorted again on its bytes. For every split
+   of a string into what stands left and right of the anchor, the runs of neighbours with long enough extensions on both
+   sides are the groups of equal strings, of which the earliest stays.
+3. Grams with more than ``most`` contexts, such as those of a very common line, are split by longer prefixes: the strings
+   whose anchor stands within a quarter of the possible offsets share 83 bytes, and meet by these and are sorted as above;
+   where even these are so common, strings meet by all their bytes, the earliest found by partial minima.
+
+Equal texts are folded first: of those of at least ``LENGTH`` bytes all but those of the smallest id are removed whole. A
+row is known by its id and its text: rows that repeat both are alike, and of rows of one id with different texts none is
+earlier than another, so a string that only they share stays in each. Null ids come after all others, and none of them is
+earlier than another. Null and empty texts: nothing to remove. An empty table gives no rows. Columns other than the id and
+the text are not read, so their names can't clash; a long text is one slice of its own, whole.
 """
 
 from __future__ import annotations
@@ -40,9 +43,13 @@ from lodestone.llm import groups, shared, textbuf
 
 LENGTH = 100
 GRAM = 32
+#: Contexts of a gram that one task sorts; more are split by longer prefixes.
 MOST = 2048
 #: The place of documents without an id: after all others.
 LAST = (1 << 63) - 1
+#: Modulus of the hashes of contexts: 168 products of it and a byte add up to less than 2**63.
+PRIME = (1 << 47) - 115
+BASE = 0x1F3D5B79A8C7
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -56,15 +63,26 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the gram bytes (8 or more) from each place on."""
+    n = len(data) - gram + 1
+    words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1))).view("<u8").ravel()
+    h = words[:n] * _STEP
+    for at in [*range(8, gram - 7, 8), *([gram - 8] if gram % 8 else [])]:
+        h ^= h >> np.uint64(29)
+        h ^= words[at : at + n]
+        h *= _STEP
+    return textbuf.mix(h)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """(row, place, first start, last start, gram hash, context hash) of all anchors; places within the flat buffer."""
     n = len(data)
     if n < length:
         return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
-    prefix = textbuf.prefix_hashes(data)
-    at = np.arange(n - gram + 1)
-    h = textbuf.span_hashes(prefix, at, at + gram)
-    least = sliding_minimum((h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - gram + 1)
+    h = gram_hashes(data, gram)
+    at = np.arange(len(h), dtype=np.uint64)
+    least = sliding_minimum((h & np.uint64(0xFFFFFFFF00000000)) | at, length - gram + 1)
     place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(place)]
     inside = np.flatnonzero(np.arange(len(place)) + length <= offsets[row + 1])
@@ -74,108 +92,84 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(place)) - 1
     p, s, e = place[first], inside[first], inside[last] if len(place) else inside[:0]
-    context = textbuf.mix(textbuf.span_hashes(prefix, s, e + length) * _STEP + (p - s).astype(np.uint64))
+    context = (p - s).astype(np.uint64) * _STEP + (e - s).astype(np.uint64)
+    for off in [*range(0, length - gram, gram), length - gram]:  # these grams cover the context
+        context = textbuf.mix(context * _STEP + h[s + off]) + h[e + off]
     return row[first], p, s, e, h[p], context
 
 
-def _ids(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + size] and data[b:b + size] are equal, for each."""
+    out = np.ones(len(a), dtype=bool)
+    for at in range(0, len(a), 8192):
+        k = slice(at, at + 8192)
+        step = np.arange(size[k].max(initial=0))
+        inside = step < size[k][:, None]
+        last = len(data) - 1
+        out[k] = ((data[np.minimum(a[k][:, None] + step, last)] == data[np.minimum(b[k][:, None] + step, last)]) | ~inside).all(axis=1)
+    return out
 
 
-ANCHOR = T.StructType([*[T.StructField(n, T.LongType()) for n in ("gram", "context", "doc", "place", "first", "last")], T.StructField("gone", T.BooleanType())])
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """id, doc (the id's place in the order), key (of the text) and text."""
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} must be of an integer type")
+    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc"), value.alias("text"))
+    return rows.select("id", "doc", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("key"), "text")
 
 
-def find_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Anchors by document; of equal texts of a slice only those of the smallest id.
+GONE, KNOWN, OPEN = 2, 1, 0
+#: deal: by what rows meet. gram: of settled ones (state GONE) the document. KNOWN: another anchor of the slice has the gram.
+ANCHOR = T.StructType([T.StructField("deal", T.LongType()), T.StructField("gram", T.LongType()), T.StructField("key", T.BinaryType()), *[T.StructField(n, T.LongType()) for n in ("place", "first", "last")], T.StructField("state", T.ByteType())])
 
-    An anchor whose context stands earlier in the same slice is gone at once. It keeps no gram but a number of its own to
-    be dealt by, so that a very common string sends few rows to the task of its gram.
-    """
+
+def find_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Anchors of all texts; of equal texts of a slice only those of the smallest id."""
 
     def run(batches):
         for batch in batches:
-            for part in textbuf.slices(batch, 1):
-                data, offsets = textbuf.flat(part.column(1))
+            for part in textbuf.slices(batch, 2):
+                data, offsets = textbuf.flat(part.column(2))
                 doc = part.column(0).to_numpy()
-                whole = textbuf.span_hashes(textbuf.prefix_hashes(data), offsets[:-1], offsets[1:])
-                order = np.lexsort((doc, whole))
-                first = np.ones(len(doc), dtype=bool)
-                first[order[1:]] = (whole[order[1:]] != whole[order[:-1]]) | (doc[order[1:]] == doc[order[:-1]])
+                key = np.unique(np.frombuffer(textbuf.flat(part.column(1))[0].tobytes(), dtype="V16"), return_inverse=True)[1].ravel()
+                order = np.lexsort((doc, key))
+                only = np.ones(len(doc), dtype=bool)
+                only[order[1:]] = key[order[1:]] != key[order[:-1]]
                 row, p, s, e, h, c = anchors(data, offsets, length, gram)
-                on = first[row]
-                base = offsets[row[on]]
-                d, p, s, e, h, c = doc[row[on]], p[on] - base, s[on] - base, e[on] - base, h[on], c[on]
-                by = np.lexsort((p, d, c, h))
-                new = np.ones(len(by), dtype=bool)
+                on = only[row]
+                row, p, s, e, h, c = row[on], p[on], s[on], e[on], h[on], c[on]
+                n = len(row)
+                if not n:
+                    continue
+                d, at = doc[row], np.arange(n)
+                by = np.lexsort((p, row, d, c, h))
+                new = np.ones(n, dtype=bool)
                 new[1:] = (h[by][1:] != h[by][:-1]) | (c[by][1:] != c[by][:-1])
-                lead = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
-                gone = np.zeros(len(by), dtype=bool)
-                gone[by] = (d[by] != d[lead]) | (p[by] != p[lead])
-                h[gone] = textbuf.mix(h[gone] + d[gone].astype(np.uint64) * _STEP + p[gone].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(p), pa.array(s), pa.array(e), pa.array(gone)], names=ANCHOR.names)
-
-    return texts.mapInArrow(run, ANCHOR)
-
-
-JUDGED = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "doc", "place", "first", "last")] + [T.StructField("gone", T.BooleanType())])
-
-
-def judge(batches):
-    """Anchors in the order of gram, context, document, place -> those that are gone, and those to ask about."""
-    head = None  # the earliest row of the context at hand: gram, context, doc, place
-    waiting = None  # the first row of the gram at hand, as long as it has only one context
-    for batch in batches:
-        settled = batch.column(6).to_numpy(zero_copy_only=False)
-        if settled.any():
-            done = batch.filter(batch.column(6))
-            yield pa.RecordBatch.from_arrays([done.column(k) for k in (0, 2, 3, 4, 5, 6)], names=JUDGED.names)
-            batch = batch.filter(pa.array(~settled))
-        if not batch.num_rows:
-            continue
-        g, c, d, p, s, e = (batch.column(k).to_numpy() for k in range(6))
-        new_gram = np.ones(len(g), dtype=bool)
-        new_gram[1:] = g[1:] != g[:-1]
-        new = new_gram.copy()
-        new[1:] |= c[1:] != c[:-1]
-        if head is not None:
-            new_gram[0] = g[0] != head[0]
-            new[0] = new_gram[0] or c[0] != head[1]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
-        own = np.where(at >= 0, at, 0)
-        doc0, place0 = (np.where(at >= 0, x[own], h) for x, h in ((d, head[2] if head else 0), (p, head[3] if head else 0)))
-        gone = ~new & ((d != doc0) | (p != place0))
-        leads = ~gone  # the first of its context, or a repeated row of it
-        # a gram's first context is asked about when a second one comes
-        gram_at = np.maximum.accumulate(np.where(new_gram, np.arange(len(g)), -1))
-        second = new & ~new_gram
-        seen = np.cumsum(second)
-        before = np.where(gram_at >= 0, seen[np.where(gram_at >= 0, gram_at, 0)], 0)
-        stop = np.append(np.flatnonzero(new_gram)[np.flatnonzero(new_gram) > 0], len(g))
-        owner = np.searchsorted(stop, np.arange(len(g)), "right")
-        later = seen[stop[owner] - 1] - before
-        several = later > 0
-        carried = gram_at < 0
-        if head is not None and waiting is None:
-            several |= carried  # an earlier batch has had several
-        out = [np.flatnonzero(gone), np.flatnonzero(leads & several)]
-        rows = [np.concatenate([x[out[0]], x[out[1]]]) for x in (g, d, p, s, e)]
-        flag = np.concatenate([np.ones(len(out[0]), bool), np.zeros(len(out[1]), bool)])
-        if waiting is not None and carried.any() and later[0] > 0:
-            rows = [np.append(r, [w[k] for w in waiting]) for k, r in enumerate(rows)]
-            flag = np.append(flag, np.zeros(len(waiting), bool))
-        # what is still open at the end of the batch
-        last = len(g) - 1
-        open_rows = np.flatnonzero(leads & ~several & (owner == owner[last]))
-        held = [tuple(int(x[k]) for x in (g, d, p, s, e)) for k in open_rows]
-        if several[last]:
-            waiting = None
-        elif carried[last]:
-            waiting = (waiting or []) + held
-        else:
-            waiting = held
-        head = (int(g[last]), int(c[last]), int(doc0[last]), int(place0[last]))
-        if len(flag):
-            yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(flag)], names=JUDGED.names)
+                lead = np.empty(n, dtype=np.int64)
+                lead[by] = by[np.maximum.accumulate(np.where(new, at, 0))]
+                late = np.flatnonzero((d > d[lead]) | ((row == row[lead]) & (p > p[lead])))
+                to = lead[late]
+                late = late[(p[late] - s[late] == p[to] - s[to]) & (e[late] - s[late] == e[to] - s[to])]
+                late = late[same_bytes(data, s[late], s[lead[late]], e[late] - s[late] + length)]
+                state = np.full(n, OPEN, dtype=np.int8)
+                state[late] = GONE
+                rest = by[state[by] != GONE]
+                alone = np.ones(len(rest), dtype=bool)
+                same = h[rest][1:] == h[rest][:-1]
+                alone[1:] &= ~same
+                opens = alone.copy()
+                alone[:-1] &= ~same
+                state[rest[~alone]] = KNOWN
+                gram_of = h.copy()
+                gram_of[late] = d[late].astype(np.uint64)
+                own = textbuf.mix(h + d.astype(np.uint64) * _STEP + p.astype(np.uint64))
+                deal = np.where(state == GONE, own, h)
+                deal[rest[~opens]] = own[rest[~opens]]
+                base = offsets[row]
+                yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(gram_of.view(np.int64)), part.column(1).take(pa.array(row)), pa.array(p - base), pa.array(s - base), pa.array(e - base), pa.array(state)], names=ANCHOR.names)
+
+    return rows.select("doc", "key", "text").mapInArrow(run, ANCHOR)
 
 
 def extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, centre: int, most: int, left: bool) -> np.ndarray:
@@ -185,7 +179,7 @@ def extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, centre: int, mos
     while step:
         to = np.minimum(n + step, most)
         at, end = (centre - to, centre - n) if left else (centre + n, centre + to)
-        same = prefix[a, end] - prefix[a, at] == prefix[b, end] - prefix[b, at]
+        same = ((prefix[a, end] - prefix[a, at]) - (prefix[b, end] - prefix[b, at])) % PRIME == 0
         n = np.where(same, to, n)
         step >>= 1
     return n
@@ -246,126 +240,186 @@ def sort_suffixes(prefix, context, group, centre, most, left):
     exact = direct(context, order, group, centre, most, left)
     if not np.array_equal(exact, common):
         side = np.ascontiguousarray(context[:, centre - most : centre][:, ::-1] if left else context[:, centre : centre + most])
-        order = np.lexsort((side.view(f"S{most}").ravel() if not (side == 0).any() else np.unique(side, axis=0, return_inverse=True)[1].ravel(), group))
+        order = np.lexsort((np.unique(side, axis=0, return_inverse=True)[1].ravel(), group))
         exact = direct(context, order, group, centre, most, left)
     return order, exact
 
 
-def earlier_strings(context: np.ndarray, group: np.ndarray, doc: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, start) of the strings that stand earlier in their group; context: bytes from length - gram before the place."""
+def context_hashes(context: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial of each context modulo PRIME."""
+    powers = [1]
+    for _ in range(context.shape[1] - 1):
+        powers.append(powers[-1] * BASE % PRIME)
+    out = np.zeros((len(context), context.shape[1] + 1), dtype=np.int64)
+    np.cumsum((context.astype(np.int64) + 1) * np.array(powers, dtype=np.int64), axis=1, out=out[:, 1:])
+    return out
+
+
+def _nearest(common: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of each row the longest extension that it has in common with a neighbour."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.maximum(common, np.append(common[1:], 0))
+    return out
+
+
+def earlier_strings(context: np.ndarray, group: np.ndarray, doc: np.ndarray, row: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row at hand, start, end) of what strings cover that stand earlier in their group.
+
+    context: bytes from length - gram before the place; low to high: the bytes that its strings may have left of the place.
+    """
     centre, reach = length - gram, length
-    n = len(group)
-    by = np.lexsort((place, doc, group))
-    context, group, doc, place, first, last = context[by], group[by], doc[by], place[by], first[by], last[by]
-    prefix = np.zeros((n, context.shape[1] + 1), dtype=np.uint64)
-    np.cumsum(textbuf.byte_values()[context] * textbuf._powers(context.shape[1])[0], axis=1, out=prefix[:, 1:])
-    right_order, right = sort_suffixes(prefix, context, group, centre, reach, False)
-    left_order, left = sort_suffixes(prefix, context, group, centre, centre, True)
-    rows, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    fresh = np.concatenate([[True], group[1:] != group[:-1]]) if n else np.zeros(0, bool)
-    class_r, class_l = np.empty(n, np.int64), np.empty(n, np.int64)
-    for a in range(centre + 1):  # bytes left of the anchor
-        valid = np.flatnonzero((place - first >= a) & (place - last <= a))
-        if len(valid) < 2:
-            continue
-        class_r[right_order] = np.cumsum(fresh | (right < length - a))
-        class_l[left_order] = np.cumsum(fresh | (left < a))
-        key = class_l[valid] * (n + 1) + class_r[valid]
-        _, lead, back = np.unique(key, return_index=True, return_inverse=True)
-        lead = valid[lead][back]
-        late = (doc[lead] != doc[valid]) | (place[lead] != place[valid])
-        rows.append(by[valid[late]])
-        starts.append(place[valid[late]] - a)
-    return np.concatenate(rows), np.concatenate(starts)
-
-
-SPAN = T.StructType([T.StructField("doc", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-
-
-def runs_of(doc: np.ndarray, start: np.ndarray, length: int):
-    """Merged (doc, start, end) of strings at these places."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)
+    whole = np.unique(np.ascontiguousarray(context).view(f"V{context.shape[1]}").ravel(), return_inverse=True)[1].ravel()
+    by = np.lexsort((place, row, doc, high, low, whole, group))
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = np.any([x[by][1:] != x[by][:-1] for x in (group, whole, low, high)], axis=0)
+    lead = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    gone = by[(doc[by] > doc[lead]) | ((row[by] == row[lead]) & (place[by] > place[lead]))]
+    found = [(gone, place[gone] - high[gone], place[gone] - low[gone] + length)]
+    stay = np.ones(len(by), dtype=bool)
+    stay[gone] = False
+    # groups of one need no sort
+    stay &= (np.bincount(group[stay], minlength=group.max(initial=0) + 1) > 1)[group]
+    by = np.lexsort((place, row, doc, group))
+    by = by[stay[by]]
+    context, doc, row, place, low, high = context[by], doc[by], row[by], place[by], low[by], high[by]
+    group = np.unique(group[by], return_inverse=True)[1].ravel()
+    n = len(by)
+    if n:
+        prefix = context_hashes(context)
+        right_order, right = sort_suffixes(prefix, context, group, centre, reach, False)
+        left_order, left = sort_suffixes(prefix, context, group, centre, centre, True)
+        far_right, far_left = _nearest(right, right_order), _nearest(left, left_order)
+        fresh = np.concatenate([[True], group[1:] != group[:-1]])
+        class_r, class_l = np.empty(n, np.int64), np.empty(n, np.int64)
+        for a in range(int(low.min()), int(high.max()) + 1):  # bytes left of the anchor
+            valid = np.flatnonzero((low <= a) & (a <= high) & (far_left >= a) & (far_right >= length - a))
+            if len(valid) < 2:
+                continue
+            class_r[right_order] = np.cumsum(fresh | (right < length - a))
+            class_l[left_order] = np.cumsum(fresh | (left < a))
+            key = class_l[valid] * (n + 1) + class_r[valid]
+            _, at, back = np.unique(key, return_index=True, return_inverse=True)
+            first = valid[at][back.ravel()]
+            late = doc[valid] > doc[first]
+            if (twin := np.flatnonzero(~late & (first != valid))).size:  # another row of the same id, or the same row
+                _, at, back = np.unique(np.stack([key, row[valid]], axis=1), axis=0, return_index=True, return_inverse=True)
+                late[twin] = (place[valid] > place[valid[at][back.ravel()]])[twin]
+            late = valid[late]
+            found.append((by[late], place[late] - a, place[late] - a + length))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+SPAN = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+CONTEXT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("key", T.BinaryType()), *[T.StructField(n, T.LongType()) for n in ("doc", "place", "first", "last")], T.StructField("bytes", T.BinaryType())])
+
+
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs of these, row by row."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    if not len(row):
+        return row, start, end
+    base = row * (int(end.max()) + 1)  # rows one behind the other
+    reach = np.maximum.accumulate(base + end)
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (base[1:] + start[1:] > reach[:-1])
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(doc)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(start[at]), pa.array(start[last] + length)] if len(doc) else [pa.array([], pa.int64())] * 3, names=SPAN.names)
-
-
-def repeated_spans(texts: DataFrame, fetch: DataFrame, length: int, gram: int, most: int) -> DataFrame:
-    """(doc, start, end) whose bytes are to go; texts: all, fetch: those that may be asked about, both doc and text."""
-    found = find_anchors(texts, length, gram)
-    order = ["gram", "context", "doc", "place"]
-    judged = shared.written(found.repartition("gram").sortWithinPartitions(*order).mapInArrow(judge, JUDGED), "anchors")
-    whole = judged.where("gone").select("doc", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    asked = judged.where("not gone")
-    sizes = asked.groupBy("gram").agg(F.count("*").alias("size"))
-    sized = asked.join(sizes, "gram")
-    asks = sized.groupBy("doc").agg(F.collect_set(F.struct("gram", "place", "first", "last", "size")).alias("asks"))
-    centre = length - gram
-    back, ahead = centre, length
-    shape = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "other", "doc", "place", "first", "last")] + [T.StructField("bytes", T.BinaryType())])
+    return row[at], start[at], (reach - base)[np.append(at[1:], len(row)) - 1]
+
+
+def fetch_contexts(length: int, gram: int):
+    """From doc, key, text and a list of anchors asked for to CONTEXT."""
+    back, ahead = length - gram, length
 
-    def contexts(batches):
+    def run(batches):
         for batch in batches:
-            for part in textbuf.slices(batch, 1):
-                data, offsets = textbuf.flat(part.column(1))
-                doc = part.column(0).to_numpy()
-                lists = part.column(2).combine_chunks() if isinstance(part.column(2), pa.ChunkedArray) else part.column(2)
+            for part in textbuf.slices(batch, 2):
+                data, offsets = textbuf.flat(part.column(2))
+                doc, lists = part.column(0).to_numpy(), part.column(3)
                 row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                g, p, s, e, size = (lists.flatten().field(k).to_numpy() for k in range(5))
+                g, p, s, e = (lists.flatten().field(k).to_numpy() for k in range(4))
                 base = offsets[row]
-                ok = base + e + length <= offsets[row + 1]  # not of another row of a repeated id
-                few = np.flatnonzero(ok & (size <= most))
-                for at in range(0, len(few), 16384):
-                    k = few[at : at + 16384]
+                for at in range(0, len(g), 16384):
+                    k = slice(at, at + 16384)
                     where = (base[k] + p[k])[:, None] + np.arange(-back, ahead)
                     inside = (where >= (base[k] + s[k])[:, None]) & (where < (base[k] + e[k] + length)[:, None])
                     c = np.where(inside, data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8)
-                    packed = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer((np.arange(len(k) + 1) * (back + ahead)).astype(np.int32)), pa.py_buffer(c.tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(g[k]), pa.nulls(len(k), pa.int64()), pa.array(doc[row[k]]), pa.array(p[k]), pa.array(s[k]), pa.array(e[k]), packed], names=shape.names)
-                many = np.flatnonzero(ok & (size > most))
-                if len(many):
-                    prefix = textbuf.prefix_hashes(data)
-                    flipped = textbuf.prefix_hashes(data ^ np.uint8(0x5A))
-                    for at in range(0, len(many), 4096):
-                        k = many[at : at + 4096]
-                        n = e[k] - s[k] + 1
-                        of = np.repeat(k, n)
-                        start = s[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        f = base[of] + start
-                        h1, h2 = textbuf.span_hashes(prefix, f, f + length), textbuf.span_hashes(flipped, f, f + length)
-                        yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc[row[of]]), pa.array(start), pa.nulls(len(of), pa.int64()), pa.nulls(len(of), pa.int64()), pa.nulls(len(of), pa.binary())], names=shape.names)
-
-    sent = fetch.join(asks.hint("shuffle_hash"), "doc").select("doc", "text", "asks").mapInArrow(contexts, shape)
-
-    def compare(batches):
-        for table in groups.keyed_runs(batches, ["gram"]):
+                    packed = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer((np.arange(len(c) + 1) * (back + ahead)).astype(np.int32)), pa.py_buffer(c.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(g[k]), part.column(1).take(pa.array(row[k])), pa.array(doc[row[k]]), pa.array(p[k]), pa.array(s[k]), pa.array(e[k]), packed], names=CONTEXT.names)
+
+    return run
+
+
+MEET = ["gram", "low", "part"]
+
+
+def compare_contexts(length: int, gram: int):
+    """From contexts in the order of MEET to the spans of earlier strings."""
+
+    def run(batches):
+        for table in groups.keyed_runs(batches, MEET):
             table = table.combine_chunks()
-            g, d, p, s, e = (table.column(c).to_numpy() for c in ("gram", "doc", "place", "first", "last"))
-            group = np.cumsum(np.concatenate([[False], g[1:] != g[:-1]]))
-            edges = np.append(np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), len(g))
-            raw = textbuf.flat(table.column("bytes"))[0].reshape(-1, back + ahead)
+            keys = [table.column(k).to_numpy() for k in MEET]
+            new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+            group, edges = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(new))
+            d, p, s, e, high = (table.column(c).to_numpy() for c in ("doc", "place", "first", "last", "high"))
+            low, high = np.maximum(keys[1], p - e), np.minimum(high, p - s)
+            key = table.column("key").combine_chunks()
+            row = np.unique(np.frombuffer(textbuf.flat(key)[0].tobytes(), dtype="V16"), return_inverse=True)[1].ravel()
+            raw = textbuf.flat(table.column("bytes"))[0].reshape(len(new), -1)
             at = 0
             while at < len(edges) - 1:  # some thousands of rows at a time, whole groups
                 to = max(at + 1, int(np.searchsorted(edges, edges[at] + 8192, "right")) - 1)
                 i, j = edges[at], edges[to]
-                row, start = earlier_strings(raw[i:j], group[i:j] - group[i], d[i:j], p[i:j], s[i:j], e[i:j], length, gram)
-                made = runs_of(d[i:j][row], start, length)
-                if made.num_rows:
-                    yield made
+                own, start, end = earlier_strings(raw[i:j], group[i:j] - group[i], d[i:j], row[i:j], p[i:j], low[i:j], high[i:j], length, gram)
+                if len(own):
+                    _, lead = np.unique(row[i:j], return_index=True)
+                    of, start, end = merged(np.unique(row[i:j], return_inverse=True)[1].ravel()[own], start, end)
+                    yield pa.RecordBatch.from_arrays([key.take(pa.array(lead[of] + i)), pa.array(start), pa.array(end)], names=SPAN.names)
                 at = to
 
-    parts = sent.where("bytes is not null").select("gram", "doc", "place", "first", "last", "bytes")
-    near = parts.repartition("gram").sortWithinPartitions("gram").mapInArrow(compare, SPAN)
-    strings = sent.where("bytes is null").select("gram", "other", "doc", "place")
-    least = strings.groupBy("gram", "other").agg(F.min(F.struct("doc", "place")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    common = strings.join(least, ["gram", "other"]).where(F.struct("doc", "place") != F.col("lead")).select("doc", F.col("place").alias("start"), (F.col("place") + length).alias("end"))
-    return whole.unionAll(near).unionAll(common)
+    return run
+
 
+def repeated_spans(rows: DataFrame, texts: DataFrame, reps: DataFrame, length: int, gram: int, most: int) -> DataFrame:
+    """(key, start, end) whose bytes are to go; texts: doc, key and text of one row a text at least."""
+    found = find_anchors(rows, length, gram).repartition("deal")
+    over = "OVER (PARTITION BY deal)"
+    found = found.withColumn("several", F.expr(f"min(place) {over} != max(place) {over} OR min(key) {over} != max(key) {over}"))
+    found = shared.written(found.where(F.col("several") | (F.col("state") != OPEN)).select("gram", "key", "place", "first", "last", (F.col("state") == GONE).alias("gone")), "anchors")
+    settled = found.where("gone").join(reps, "key").where(F.col("gram") == F.col("low"))
+    settled = settled.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    asked = found.where("not gone").drop("gone")
+    common = asked.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most).select("gram", F.lit(True).alias("common"))
+    asked = asked.join(common, "gram", "left")
 
-OUTPUT = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
+    def contexts(some: DataFrame) -> DataFrame:
+        asks = some.groupBy("key").agg(F.collect_set(F.struct("gram", "place", "first", "last")).alias("asks"))
+        return texts.join(asks.hint("shuffle_hash"), "key").select("doc", "key", "text", "asks").mapInArrow(fetch_contexts(length, gram), CONTEXT)
+
+    centre = length - gram
+    columns = ["gram", "low", "part", "high", "key", "doc", "place", "first", "last", "bytes"]
+    few = contexts(asked.where("common is null")).select("gram", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("part"), F.lit(centre).cast("long").alias("high"), *columns[4:])
+    # by longer prefixes: the bytes that all strings with low to high bytes left of the anchor share
+    many = contexts(asked.where("common")).repartition("key", "place")
+    step = -(-(centre + 1) // 4)
+    quarters = F.explode(F.array(*[F.struct(F.lit(at).cast("long").alias("low"), F.lit(min(at + step - 1, centre)).cast("long").alias("high")) for at in range(0, centre + 1, step)]))
+    dealt = many.select("*", quarters.alias("q")).select("*", "q.low", "q.high").where("place - last <= high and place - first >= low")
+    dealt = dealt.withColumn("part", F.expr(f"xxhash64(substring(bytes, int({centre} - low + 1), int({length} - (high - low))))"))
+    sizes = dealt.groupBy(*MEET).agg(F.count("*").alias("n")).where("n > 1")
+    dealt = dealt.join(sizes, MEET)
+    tasks = few.unionAll(dealt.where(F.col("n") <= most).select(*columns))
+    near = tasks.repartition(*MEET).sortWithinPartitions(*MEET).mapInArrow(compare_contexts(length, gram), SPAN)
+    each = dealt.where(F.col("n") > most).select("key", "doc", "place", "bytes", F.explode(F.expr("sequence(greatest(low, place - last), least(high, place - first))")).alias("left"))
+    each = each.select("key", "doc", (F.col("place") - F.col("left")).alias("start"), F.expr(f"substring(bytes, int({centre} - left + 1), {length})").alias("string"))
+    least = each.groupBy("string").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    each = each.join(least, "string")
+    again = each.where("doc = least").withColumn("first", F.expr("min(start) OVER (PARTITION BY string, key)")).where("start > first")
+    each = each.where("doc > least").select("key", "start").unionAll(again.select("key", "start"))
+    return settled.unionAll(near).unionAll(each.select("key", "start", (F.col("start") + length).alias("end")))
+
+
+OUTPUT = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
@@ -375,41 +429,41 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def remove_repeats_with(docs: DataFrame, doc_id: str, text: str, length: int, gram: int, most: int, finish, kind: T.DataType, output: str = "kept") -> DataFrame:
     """As remove_repeats(), with finish(kept bytes)[0] in place of the bytes, so that they need not leave the task."""
-    texts = _ids(docs, doc_id, text)
-    keyed = texts.select("doc", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
-    least = keyed.where(F.col("n") >= length).groupBy("sha").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select("sha", "low")
-    copies = shared.cut(keyed.join(least, "sha").where("doc != low").select("doc", "sha", "n"))
-    by_doc = copies.groupBy("doc").agg(F.collect_set("sha").alias("copied"))
-    marked = texts.withColumn("sha", F.sha2("text", 256)).join(by_doc.hint("shuffle_hash"), "doc", "left")
-    others = marked.where(~F.coalesce(F.array_contains("copied", F.col("sha")), F.lit(False))).select("doc", "text")
-    spans = repeated_spans(texts, others, length, gram, most).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    schema = T.StructType([*OUTPUT.fields[:3], T.StructField(output, kind)])
+    rows = _rows(docs, doc_id, text)
+    reps = rows.where(F.octet_length("text") >= length).groupBy("key").agg(F.min("doc").alias("low"))
+    marked = rows.join(reps.hint("shuffle_hash"), "key", "left")
+    spans = repeated_spans(rows, marked.where("doc = low"), reps, length, gram, most)
+    spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), *OUTPUT.fields[1:3], T.StructField(output, kind)])
     arrow = finish(b"")[1]
+    shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             for part in textbuf.slices(batch, 1):
                 data, offsets = textbuf.flat(part.column(1))
+                copy = part.column(3).to_numpy(zero_copy_only=False)
                 removed, kept = [], []
                 for k, spans in enumerate(part.column(2).to_pylist()):
                     body = data[offsets[k] : offsets[k + 1]]
-                    merged: list[dict] = []
-                    for s in sorted((x["start"], min(x["end"], len(body))) for x in spans or ()):
-                        if merged and s[0] <= merged[-1]["end"]:
-                            merged[-1]["end"] = max(merged[-1]["end"], s[1])
-                        elif s[0] < s[1]:
-                            merged.append({"start": s[0], "end": s[1]})
-                    stay = np.ones(len(body), dtype=bool)
-                    for m in merged:
-                        stay[m["start"] : m["end"]] = False
-                    removed.append(merged)
-                    kept.append(finish(body[stay].tobytes())[0])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, arrow)], names=schema.names)
-
-    rest = others.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans").mapInArrow(run, schema)
-    nothing = finish(b"")[0]
-    gone = copies.select("doc", F.col("n").alias("n_bytes"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("removed"), F.lit(nothing).cast(kind).alias(output))
-    return rest.unionAll(gone).select(F.when(F.col("doc") != LAST, F.col("doc")).cast(docs.schema[doc_id].dataType).alias(doc_id), "n_bytes", "removed", output)
+                    if copy[k]:
+                        spans = [{"start": 0, "end": len(body)}]
+                    if not spans:
+                        removed.append([])
+                        kept.append(finish(body.tobytes())[0])
+                        continue
+                    start, end = (np.array([x[n] for x in spans], dtype=np.int64) for n in ("start", "end"))
+                    _, start, end = merged(np.zeros(len(start), np.int64), start, end)
+                    edge = np.zeros(len(body) + 1, dtype=np.int8)
+                    edge[start] += 1
+                    edge[end] -= 1
+                    removed.append([{"start": s, "end": e} for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+                    kept.append(finish(body[np.cumsum(edge[:-1]) == 0].tobytes())[0])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(removed, shape), pa.array(kept, arrow)], names=schema.names)
+
+    copy = F.coalesce(F.col("doc") > F.col("low"), F.lit(False))
+    out = marked.join(spans.hint("shuffle_hash"), "key", "left").select("id", "text", "spans", copy.alias("copy")).mapInArrow(run, schema)
+    return out.withColumnRenamed("id", doc_id)
 
 
 def sha256_of(kept: bytes):

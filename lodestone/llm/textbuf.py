@@ -6,6 +6,8 @@ another and row ``i`` is ``data[offsets[i]:offsets[i + 1]]``. Nulls count as emp
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,10 +18,21 @@ from pyspark.sql import types as T
 #: Bytes of text that a kernel handles at once, each of which takes some tens of 64-bit numbers; a longer text is handled alone and whole.
 SLICE_BYTES = 1 << 19
 
-_R = np.uint64(0x9E3779B97F4A7C15)
-_R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: The prime of the polynomial hashes, 2**31 - 1: a product of two residues fits 64 bits.
+PRIME = (1 << 31) - 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_POWERS: dict[str, np.ndarray] = {}
+
+
+class _Kept(dict):
+    """What each process computes for itself: empty when it is sent to another."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_POWERS = _Kept()
+#: Two bases, drawn anew by each driver and sent to its executors with the functions, so that no text can be made to collide.
+BASES = tuple(secrets.randbelow(PRIME - (1 << 21)) + (1 << 20) for _ in range(2))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,32 +45,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def byte_values() -> np.ndarray:
-    """A 64-bit number for each byte, never 0."""
-    return mix(np.arange(1, 257, dtype=np.uint64) * _R) | np.uint64(1)
+def residues(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, of 63-bit numbers."""
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    x = (x & prime) + (x >> bits)
+    x = (x & prime) + (x >> bits)
+    return x - prime * (x >= prime)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        for name, r in (("up", _R), ("down", _R_INVERSE)):
-            p = np.full(size, r, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    """Of each base its powers 0 to n - 1, and their inverses."""
+    have = _POWERS.get(BASES)
+    if have is None or have[0].shape[1] < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        have = np.ones((2, size), dtype=np.uint32), np.ones((2, size), dtype=np.uint32)
+        for table, bases in zip(have, (BASES, [pow(b, -1, PRIME) for b in BASES]), strict=True):
+            for row, base in zip(table, bases, strict=True):
+                k = 1
+                while k < size:
+                    row[k : 2 * k] = residues(row[:k].astype(np.uint64) * np.uint64(pow(base, k, PRIME)))
+                    k *= 2
+        _POWERS[BASES] = have
+    return have[0][:, :n], have[1][:, :n]
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix hashes modulo 2**64, one more than there are bytes."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(byte_values()[data] * _powers(len(data))[0], out=out[1:])
+    """Two rows of prefix sums of the polynomials modulo PRIME, one more than there are bytes."""
+    n = len(data)
+    out = np.zeros((2, n + 1), dtype=np.uint64)
+    value = data.astype(np.uint64) + np.uint64(1)
+    for sums, power in zip(out, _powers(n + 1)[0], strict=True):
+        terms = value * power[:n]  # 40 bits each
+        np.cumsum(terms if n < 1 << 22 else residues(terms), out=sums[1:])
     return out
 
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
-    return mix((prefix[end] - prefix[start]) * _powers(len(prefix) + 1)[1][start] + (end - start).astype(np.uint64))
+    """Hashes of data[start:end] of 62 bits, equal for equal bytes wherever they stand; of n bytes that differ, equal with probability (n / 2**31)**2 at most."""
+    one, two = (residues(residues(sums[end] - sums[start]) * inverse[start]) for sums, inverse in zip(prefix, _powers(prefix.shape[1])[1], strict=True))
+    return mix((one << np.uint64(31) | two) + (end - start).astype(np.uint64) * _M2)
+
+
+def text_bits(text):
+    """60 bits of the text's SHA-256, a column; nulls are empty texts."""
+    return F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 15), 16, 10).cast("long")
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ import pytest
 
 from lodestone.llm import components, neardup, packing, queries, shards, shared, vectors, warc
 from tests.llm.test_scans import words
+from tests.llm.test_suffixes import thue_morse
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, class_id string, SLOT string"
@@ -75,6 +76,66 @@ def test_near_duplicates(spark, block):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_rows_of_one_id(spark):
+    """Null ids, and ids with several texts, are judged by their own texts."""
+    rng = random.Random(8)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4)]
+    rows = [(1, text[0]), (9, text[0] + " more"), (9, text[1]), (9, text[2]), (12, text[2] + " x"), (5, text[1] + " x"), (None, text[3]), (None, text[0]), (7, text[3]), (9, text[1])]
+    got = sorted((str(r["doc_id"]), r["class_id"], r["n_links"]) for r in neardup.near_duplicates(frame(spark, rows)).collect())
+    want = [(1, 1, 2), (9, 1, 2), (9, 5, 2), (9, 5, 2), (9, 9, 1), (12, 9, 1), (5, 5, 2), (None, None, 0), (None, None, 0), (7, 7, 1)]
+    assert got == sorted((str(i), c, n) for i, c, n in want)
+    kept = [(r["doc_id"], r["text"]) for r in neardup.keep_one_of_each(frame(spark, rows)).collect()]
+    assert Counter(kept) == Counter([(1, text[0]), (9, text[2]), (5, text[1] + " x"), (None, text[3]), (None, text[0]), (7, text[3])])
+
+
+def test_words_whose_polynomials_agree_modulo_a_power_of_two(spark):
+    rows = [(1, thue_morse(1024, 0)), (2, thue_morse(1024, 1)), (3, thue_morse(1024, 1))]
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in neardup.near_duplicates(frame(spark, rows)).collect()) == [(1, 1, 0), (2, 2, 1), (3, 2, 1)]
+
+
+def changed_pairs(rng, n, share):
+    """n pairs of texts of 300 words, with single words changed until their similarity is near the share."""
+    rows = []
+    for k in range(n):
+        w = [f"v{rng.randrange(10**7)}" for _ in range(300)]
+        rows.append((2 * k, " ".join(w)))
+        for at in range(2, 296, max(6, round(296 / (296 * (1 - share) / (1 + share) / 5)))):
+            w[at] = f"z{rng.randrange(10**7)}"
+        rows.append((2 * k + 1, " ".join(w)))
+    return rows
+
+
+def test_recall_of_the_forest(spark):
+    """Links just above the least similarity; a forest of trees cut at depth 8 finds fewer of them than one cut at 6."""
+    rows = changed_pairs(random.Random(11), 1500, 0.82)
+    links, _ = plain_near_pairs(rows)
+    out = {r["doc_id"]: r["n_links"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    recall = sum(out.values()) / links
+    print("recall", recall, "of", links)
+    assert links >= 2000 and recall >= 0.999
+
+
+def plain_near_pairs(rows):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words(t) for _, t in rows)]
+    found = [len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, len(rows), 2)]
+    return 2 * sum(s >= 0.8 for s in found), found
+
+
+def test_prefixes_are_shortened_until_the_recall():
+    total = neardup.TREES * neardup.DEPTH
+    close, far = {total: 50, total - 10: 50}, {round(0.8 * total): 100}
+    assert neardup.estimated_recall(close, neardup.DEPTH, 0.8) >= neardup.RECALL  # nothing to gain from shorter prefixes
+    depth = next(d for d in range(neardup.DEPTH, 0, -1) if neardup.estimated_recall(far, d, 0.8) >= neardup.RECALL)
+    assert depth == 6 and neardup.estimated_recall(far, 7, 0.8) < neardup.RECALL
+
+
+def test_long_texts_are_compared_whole(spark):
+    rng = random.Random(12)
+    w = [f"v{rng.randrange(10**7)}" for _ in range(90_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:85_000])), (3, " ".join(w[:60_000]))]
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in neardup.near_duplicates(frame(spark, rows)).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
+
+
 def test_near_duplicate_query(spark):
     rows = [tuple(r) for r in queries.table(spark, SF, "documents").select("doc_id", "text").collect()]
     links, comp = plain_near(rows)
@@ -125,22 +186,21 @@ def test_linked_vectors_meet_in_a_cell(dim, inner):
     assert len(a) > 1000 and np.all((home[a] == home[b]) | guest[a, home[b]] | guest[b, home[a]])
 
 
-def test_vector_recall(spark):
-    sf = "/root/testdata/check_s"
-    rows = queries.table(spark, sf, "embeddings").collect()
-    x = np.array([r["embedding"] for r in rows], dtype=float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    label, ids = np.array([r["label"] for r in rows]), [r["vec_id"] for r in rows]
-    want = {}
-    for y in np.unique(label):
-        at = np.flatnonzero(label == y)
-        n = (x[at] @ x[at].T >= 0.93).sum(axis=1) - 1
-        want.update((ids[i], int(c)) for i, c in zip(at, n, strict=True))
-    out = {r["vec_id"]: r["n_links"] for r in queries.op10_embedding_neardup(spark, sf).collect()}
-    assert all(out[i] <= n for i, n in want.items())
-    recall = sum(out.values()) / sum(want.values())
-    print("recall", recall)
-    assert recall >= 0.999
+@pytest.mark.parametrize("dim,inner", [(64, 64), (768, 2), (768, 8)])
+def test_links_over_many_cells(spark, dim, inner):
+    """All links, as by brute force, though the vectors lie in twelve cells and more; circles and clusters."""
+    rng = np.random.default_rng(6)
+    base = np.linalg.qr(rng.normal(size=(dim, inner)))[0]
+    x = rng.normal(size=(1200, inner)) if inner < 8 else rng.normal(size=(80, inner))[rng.integers(80, size=1200)] + 0.2 * rng.normal(size=(1200, inner))
+    x = (x @ base.T).round(6)
+    label = rng.integers(2, size=1200)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((unit @ unit.T >= 0.93) & (label[:, None] == label[None])).sum(axis=1) - 1
+    rows = [(k, x[k].tolist(), int(label[k])) for k in range(1200)]
+    out = {r["vec_id"]: r["n_links"] for r in vectors.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cell=50).collect()}
+    got = np.array([out[k] for k in range(1200)])
+    print("recall", got.sum() / want.sum(), "of", want.sum())
+    assert want.sum() > 1000 and np.array_equal(got, want)
 
 
 def greedy(sizes, most):

@@ -28,7 +28,8 @@ def test_stages(spark):
     assert toxic.columns == names and set(kept) == {i for i, z in scores.items() if z < 0}
 
     lines = corpus_pipeline.dedup_lines(spark, toxic, SF)
-    want = plain([(i, r["text"]) for i, r in kept.items()])
+    rows = [(i, r["text"]) for i, r in kept.items()]
+    want = dict(zip((i for i, _ in rows), plain(rows), strict=True))
     want = {i: t for i, t in want.items() if t is None or t.strip(SPACE) or not kept[i]["text"].strip(SPACE)}
     rows = lines.collect()
     assert lines.columns == names and {r["doc_id"]: r["text"] for r in rows} == want
