@@ -10,7 +10,7 @@ bytes or so. An anchor's context is what its strings cover. Hashes choose anchor
 has always been compared byte by byte (equal texts: by 128 bits of SHA-256).
 
 1. In a slice of texts, anchors whose context equals that of an earlier one, byte by byte, are settled: all their strings
-   go. The others meet by their gram. A gram sends one row a slice there, which says whether the slice has several; anchors
+   go. The others meet by their gram, but for those of a gram that the slice has ``MANY`` times, which send one for all; those
    whose gram stands at another place or in another text too go on.
 2. Their contexts' bytes are fetched. The anchors of a gram are suffixes, and reversed prefixes, that start at the same
    byte. Equal contexts are folded, the others sorted by mergesort: two are compared by their common extension, found by
@@ -18,7 +18,7 @@ has always been compared byte by byte (equal texts: by 128 bits of SHA-256).
    the order are then compared byte by byte; where a hash collided, the group is sorted again on its bytes. For every split
    of a string into what stands left and right of the anchor, the runs of neighbours with long enough extensions on both
    sides are the groups of equal strings, of which the earliest stays.
-3. Grams with more than ``most`` contexts, such as those of a very common line, are split by longer prefixes: the strings
+3. Grams with more than ``most`` contexts, or ``MANY`` in a slice, such as those of a very common line, are split by longer prefixes: the strings
    whose anchor stands within a quarter of the possible offsets share 83 bytes, and meet by these and are sorted as above;
    where even these are so common, strings meet by all their bytes, the earliest found by partial minima.
 
@@ -110,18 +110,37 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
     return out
 
 
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs of these, row by row."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    if not len(row):
+        return row, start, end
+    base = row * (int(end.max()) + 1)  # rows one behind the other
+    reach = np.maximum.accumulate(base + end)
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (base[1:] + start[1:] > reach[:-1])
+    at = np.flatnonzero(new)
+    return row[at], start[at], (reach - base)[np.append(at[1:], len(row)) - 1]
+
+
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, doc (the id's place in the order), key (of the text) and text."""
+    """id, doc (the id's place in the order), key (of the text), its first 60 bits, and text."""
     if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
         raise TypeError(f"{doc_id} must be of an integer type")
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc"), value.alias("text"))
-    return rows.select("id", "doc", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("key"), "text")
+    return rows.select("id", "doc", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("key"), textbuf.text_bits(F.col("text")).alias("bits"), "text")
 
 
-GONE, KNOWN, OPEN = 2, 1, 0
-#: deal: by what rows meet. gram: of settled ones (state GONE) the document. KNOWN: another anchor of the slice has the gram.
-ANCHOR = T.StructType([T.StructField("deal", T.LongType()), T.StructField("gram", T.LongType()), T.StructField("key", T.BinaryType()), *[T.StructField(n, T.LongType()) for n in ("place", "first", "last")], T.StructField("state", T.ByteType())])
+#: States: OPEN and LEAD anchors meet by their gram; a LEAD stands for the OWN ones of its slice and gram, which don't; SPAN: settled.
+OPEN, LEAD, OWN, SETTLED = 0, 1, 2, 3
+#: Anchors of a slice and gram from which on one is sent as the LEAD of the others.
+MANY = 32
+#: Text that is searched for anchors at once.
+ANCHOR_BYTES = 1 << 21
+#: deal: by what rows meet; bits: of the text. Anchors: gram, place and, in one number, the bytes that strings have left of it at most and at least, no key, which contexts get with their bytes. Settled spans: document, start, end and key.
+ANCHOR = T.StructType([*[T.StructField(n, T.LongType()) for n in ("deal", "gram", "bits", "place", "more")], T.StructField("state", T.ByteType()), T.StructField("key", T.BinaryType())])
 
 
 def find_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -129,7 +148,7 @@ def find_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in textbuf.slices(batch, 2):
+            for part in textbuf.slices(batch, 2, ANCHOR_BYTES):
                 data, offsets = textbuf.flat(part.column(2))
                 doc = part.column(0).to_numpy()
                 key = np.unique(np.frombuffer(textbuf.flat(part.column(1))[0].tobytes(), dtype="V16"), return_inverse=True)[1].ravel()
@@ -152,24 +171,25 @@ def find_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 to = lead[late]
                 late = late[(p[late] - s[late] == p[to] - s[to]) & (e[late] - s[late] == e[to] - s[to])]
                 late = late[same_bytes(data, s[late], s[lead[late]], e[late] - s[late] + length)]
-                state = np.full(n, OPEN, dtype=np.int8)
-                state[late] = GONE
-                rest = by[state[by] != GONE]
-                alone = np.ones(len(rest), dtype=bool)
-                same = h[rest][1:] == h[rest][:-1]
-                alone[1:] &= ~same
-                opens = alone.copy()
-                alone[:-1] &= ~same
-                state[rest[~alone]] = KNOWN
-                gram_of = h.copy()
-                gram_of[late] = d[late].astype(np.uint64)
-                own = textbuf.mix(h + d.astype(np.uint64) * _STEP + p.astype(np.uint64))
-                deal = np.where(state == GONE, own, h)
-                deal[rest[~opens]] = own[rest[~opens]]
                 base = offsets[row]
-                yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(gram_of.view(np.int64)), part.column(1).take(pa.array(row)), pa.array(p - base), pa.array(s - base), pa.array(e - base), pa.array(state)], names=ANCHOR.names)
-
-    return rows.select("doc", "key", "text").mapInArrow(run, ANCHOR)
+                of, start, end = merged(row[late], (s - base)[late], (e - base)[late] + length)
+                stay = np.ones(n, dtype=bool)
+                stay[late] = False
+                rest = by[stay[by]]
+                new = np.ones(len(rest), dtype=bool)
+                new[1:] = h[rest][1:] != h[rest][:-1]
+                count = np.diff(np.append(np.flatnonzero(new), len(rest)))[np.cumsum(new) - 1]
+                state = np.where(count < MANY, OPEN, np.where(new, LEAD, OWN))
+                row, p, s, e, h, base = (x[rest] for x in (row, p, s, e, h, base))
+                own = textbuf.mix(h + doc[row].astype(np.uint64) * _STEP + p.astype(np.uint64))
+                deal = np.concatenate([np.where(state == OWN, own, h), textbuf.mix(start.astype(np.uint64) + doc[of].astype(np.uint64) * _STEP)])
+                columns = [deal.view(np.int64), np.concatenate([h.view(np.int64), doc[of]]), np.concatenate([p - base, start]), np.concatenate([(p - s) << 16 | (p - e), end]), np.concatenate([state, np.full(len(of), SETTLED)]).astype(np.int8)]
+                columns = [pa.array(c) for c in columns]
+                columns.insert(2, part.column(3).take(pa.array(np.concatenate([row, of]))))
+                columns.append(pa.concat_arrays([pa.nulls(len(row), pa.binary()), part.column(1).take(pa.array(of))]))
+                yield pa.RecordBatch.from_arrays(columns, names=ANCHOR.names)
+
+    return rows.select("doc", "key", "text", "bits").mapInArrow(run, ANCHOR)
 
 
 def extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, centre: int, most: int, left: bool) -> np.ndarray:
@@ -313,20 +333,6 @@ SPAN = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("start"
 CONTEXT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("key", T.BinaryType()), *[T.StructField(n, T.LongType()) for n in ("doc", "place", "first", "last")], T.StructField("bytes", T.BinaryType())])
 
 
-def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The maximal runs of these, row by row."""
-    order = np.lexsort((start, row))
-    row, start, end = row[order], start[order], end[order]
-    if not len(row):
-        return row, start, end
-    base = row * (int(end.max()) + 1)  # rows one behind the other
-    reach = np.maximum.accumulate(base + end)
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (base[1:] + start[1:] > reach[:-1])
-    at = np.flatnonzero(new)
-    return row[at], start[at], (reach - base)[np.append(at[1:], len(row)) - 1]
-
-
 def fetch_contexts(length: int, gram: int):
     """From doc, key, text and a list of anchors asked for to CONTEXT."""
     back, ahead = length - gram, length
@@ -338,6 +344,8 @@ def fetch_contexts(length: int, gram: int):
                 doc, lists = part.column(0).to_numpy(), part.column(3)
                 row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 g, p, s, e = (lists.flatten().field(k).to_numpy() for k in range(4))
+                ok = offsets[row] + e + length <= offsets[row + 1]  # else of another text of the same bits
+                row, g, p, s, e = (x[ok] for x in (row, g, p, s, e))
                 base = offsets[row]
                 for at in range(0, len(g), 16384):
                     k = slice(at, at + 16384)
@@ -385,21 +393,19 @@ def repeated_spans(rows: DataFrame, texts: DataFrame, reps: DataFrame, length: i
     """(key, start, end) whose bytes are to go; texts: doc, key and text of one row a text at least."""
     found = find_anchors(rows, length, gram).repartition("deal")
     over = "OVER (PARTITION BY deal)"
-    found = found.withColumn("several", F.expr(f"min(place) {over} != max(place) {over} OR min(key) {over} != max(key) {over}"))
-    found = shared.written(found.where(F.col("several") | (F.col("state") != OPEN)).select("gram", "key", "place", "first", "last", (F.col("state") == GONE).alias("gone")), "anchors")
-    settled = found.where("gone").join(reps, "key").where(F.col("gram") == F.col("low"))
-    settled = settled.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    asked = found.where("not gone").drop("gone")
-    common = asked.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most).select("gram", F.lit(True).alias("common"))
-    asked = asked.join(common, "gram", "left")
+    several = F.expr(f"min(place) {over} != max(place) {over} OR min(bits) {over} != max(bits) {over}")
+    found = found.select("gram", "bits", "key", "place", "more", "state", several.alias("several"), F.expr(f"count(*) {over} > {most} OR max(state) {over} > {OPEN}").alias("common"))
+    found = shared.written(found.where(F.col("several") | (F.col("state") != OPEN)).drop("several"), "anchors")
+    settled = found.where(F.col("state") == SETTLED).join(reps, "key").where(F.col("gram") == F.col("low")).select("key", F.col("place").alias("start"), F.col("more").alias("end"))
+    asked = found.where(F.col("state") != SETTLED).select("gram", "bits", "place", (F.col("place") - F.shiftright("more", 16)).alias("first"), (F.col("place") - F.col("more").bitwiseAND(65535)).alias("last"), "common")
 
     def contexts(some: DataFrame) -> DataFrame:
-        asks = some.groupBy("key").agg(F.collect_set(F.struct("gram", "place", "first", "last")).alias("asks"))
-        return texts.join(asks.hint("shuffle_hash"), "key").select("doc", "key", "text", "asks").mapInArrow(fetch_contexts(length, gram), CONTEXT)
+        asks = some.groupBy("bits").agg(F.collect_set(F.struct("gram", "place", "first", "last")).alias("asks"))
+        return texts.join(asks.hint("shuffle_hash"), "bits").select("doc", "key", "text", "asks").mapInArrow(fetch_contexts(length, gram), CONTEXT)
 
     centre = length - gram
     columns = ["gram", "low", "part", "high", "key", "doc", "place", "first", "last", "bytes"]
-    few = contexts(asked.where("common is null")).select("gram", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("part"), F.lit(centre).cast("long").alias("high"), *columns[4:])
+    few = contexts(asked.where("not common")).select("gram", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("part"), F.lit(centre).cast("long").alias("high"), *columns[4:])
     # by longer prefixes: the bytes that all strings with low to high bytes left of the anchor share
     many = contexts(asked.where("common")).repartition("key", "place")
     step = -(-(centre + 1) // 4)
@@ -430,10 +436,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def remove_repeats_with(docs: DataFrame, doc_id: str, text: str, length: int, gram: int, most: int, finish, kind: T.DataType, output: str = "kept") -> DataFrame:
     """As remove_repeats(), with finish(kept bytes)[0] in place of the bytes, so that they need not leave the task."""
     rows = _rows(docs, doc_id, text)
-    reps = rows.where(F.octet_length("text") >= length).groupBy("key").agg(F.min("doc").alias("low"))
-    marked = rows.join(reps.hint("shuffle_hash"), "key", "left")
-    spans = repeated_spans(rows, marked.where("doc = low"), reps, length, gram, most)
-    spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    reps = rows.where(F.octet_length("text") >= length).groupBy("bits", "key").agg(F.min("doc").alias("low"))
+    of_bits = reps.groupBy("bits").agg(F.collect_list(F.struct("key", "low")).alias("lows"))  # one, unless 60 bits collide
+    marked = rows.join(of_bits.hint("shuffle_hash"), "bits", "left").withColumn("low", F.expr("filter(lows, x -> x.key = key)[0].low")).drop("lows")
+    spans = repeated_spans(rows, marked.where("doc = low"), reps.drop("bits"), length, gram, most)
+    spans = spans.groupBy(F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long").alias("bits")).agg(F.collect_list(F.struct("start", "end", "key")).alias("found"))
     schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), *OUTPUT.fields[1:3], T.StructField(output, kind)])
     arrow = finish(b"")[1]
     shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -462,7 +469,7 @@ def remove_repeats_with(docs: DataFrame, doc_id: str, text: str, length: int, gr
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(removed, shape), pa.array(kept, arrow)], names=schema.names)
 
     copy = F.coalesce(F.col("doc") > F.col("low"), F.lit(False))
-    out = marked.join(spans.hint("shuffle_hash"), "key", "left").select("id", "text", "spans", copy.alias("copy")).mapInArrow(run, schema)
+    out = marked.join(spans.hint("shuffle_hash"), "bits", "left").withColumn("spans", F.expr("filter(found, x -> x.key = key)")).select("id", "text", "spans", copy.alias("copy")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", doc_id)
 
 
