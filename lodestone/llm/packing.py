@@ -1,15 +1,20 @@
-"""Best-fit packing of token sequences, bulk-synchronous over runs of equal lengths.
+"""Best-fit packing of token sequences, bulk-synchronous.
 
 Documents become the ids of their text by the tokenizer's vocabulary and the end id. Longer ones than ``CAPACITY`` are
-cut into pieces of that length, of which the first may be shorter. Pieces and gaps are kept sorted by length as runs of
-equal lengths (a capacity's worth of runs at most, whatever the number of documents): that is the range sort. From the
-longest run of pieces down, a sweep finds the successor among the gaps, the smallest that holds the length; pieces of a
-run differ only in rank, so rank decides which of them gets which gap; gaps shrink by what they took and the sweep goes
-on until the run is placed, opening new sequences where no gap is left. The result is a plan of rank intervals: pieces
-of length l and ranks r.. go to sequences s.. at an offset. Ranks are numbered on the executors, in parts of a length,
-and the plan, whose number of rows depends on the capacity and not on the documents, is joined to them.
-
-Null and empty texts: the end id alone. Repeated rows are packed each. No documents: no rows.
+cut into pieces of that length, of which the first may be shorter. Pieces are dealt to lanes of about ``LANE`` pieces, evenly
+and whatever they hold, and all lanes are packed at once, each by one task:
+
+1. The lane's pieces and its gaps are kept sorted by length, as runs of equal lengths.
+2. From the longest run of pieces down, a sweep finds the successor among the gaps, the smallest that holds the length;
+   pieces of a run differ only in rank, so rank decides which of them gets which gap.
+3. Gaps shrink by what they took, and the sweep goes on until the run is placed, opening new sequences where no gap is left.
+
+The sequence that a lane opened last has had the fewest pieces to fill it: its pieces are released, and those of all lanes
+are dealt out anew and packed in a next round, until a round has one lane. So lanes cost no sequences, the rounds shrink by a
+factor of ``LANE / CAPACITY`` at least, and neither a task nor the driver holds more than a lane.
+
+Null and empty texts: the end id alone. Long texts are tokenized whole. Repeated rows are packed each; ties are broken by
+order of arrival. No documents: no rows. Only the id and the text are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations
@@ -23,15 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from lodestone.llm import shared, textbuf
+from lodestone.llm import groups, shared, textbuf
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces that one task numbers, about.
-NUMBERED = 20_000
-PARTS = 64
+#: Pieces that one task packs, about.
+LANE = 1 << 15
 
 _LOADED: dict = {}
 
@@ -72,7 +75,7 @@ def encoder(path: str, pattern: str):
         for t in texts:
             try:
                 out.append(fast.encode(t, allowed_special=special, disallowed_special=()))
-            except Exception:  # runs of characters that overflow its pattern matcher
+            except ValueError:  # its pattern matcher gave up
                 out.append(plain(t))
         return out
 
@@ -153,26 +156,47 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, pattern: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack_lane(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of each piece, sequences numbered as they are opened."""
+    order = np.argsort(length, kind="stable")
+    first = dict(zip(*np.unique(length[order], return_index=True), strict=True))
+    sequence, offset = np.empty(len(length), dtype=np.int64), np.empty(len(length), dtype=np.int64)
+    for size, rank, number, to, at in plan(dict(zip(*(x.tolist() for x in np.unique(length, return_counts=True)), strict=True)), capacity):
+        own = order[first[size] + rank : first[size] + rank + number]
+        sequence[own] = to + np.arange(number)
+        offset[own] = at
+    return sequence, offset
+
+
+def pack(docs: DataFrame, tokenizer: str, pattern: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, lane: int = LANE) -> DataFrame:
     """A row a piece: id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    pieces = shared.cut(tokenize(docs, tokenizer, pattern, doc_id, text, capacity, end_id, with_ids))
-    parted = pieces.withColumn("__part", F.pmod(F.xxhash64(doc_id, "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
-    per_part = parted.groupBy("length", "__part").agg(F.count("*").alias("__n"))
-    counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
-    # hot lengths in more parts, so that no task numbers many
-    most = max(counts.values(), default=0)
-    if most > PARTS * NUMBERED:
-        parted = pieces.withColumn("__part", F.pmod(F.xxhash64(doc_id, "piece", "ids_crc32"), F.lit(-(-most // NUMBERED))).cast("int"))
-        per_part = parted.groupBy("length", "__part").agg(F.count("*").alias("__n"))
-    before = per_part.select("length", "__part", (F.sum("__n").over(Window.partitionBy("length").orderBy("__part")) - F.col("__n")).alias("__before"))
-    nth = F.row_number().over(Window.partitionBy("length", "__part").orderBy(doc_id, "piece", "ids_crc32", "start"))
-    ranked = parted.withColumn("__nth", nth).join(before, ["length", "__part"]).withColumn("__rank", F.col("__before") + F.col("__nth") - 1)
-    rows = plan(counts, capacity)
-    schema = "length long, first_rank long, number long, sequence long, offset long"
-    steps = docs.sparkSession.createDataFrame(rows, schema)
-    if len(rows) <= 1 << 20:  # as many as the capacity makes
-        steps = F.broadcast(steps)
-    inside = (ranked["length"] == steps["length"]) & (F.col("__rank") >= F.col("first_rank")) & (F.col("__rank") < F.col("first_rank") + F.col("number"))
-    out = ranked.join(steps, inside)
-    names = [doc_id, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    return out.select(*[ranked[c] for c in names], (F.col("sequence") + F.col("__rank") - F.col("first_rank")).alias("sequence_id"), F.col("offset"))
+    if lane < 2 * capacity:
+        raise ValueError("a lane must be able to hold twice the pieces of a sequence")
+    left = shared.cut(tokenize(docs, tokenizer, pattern, doc_id, text, capacity, end_id, with_ids))
+    names = left.columns
+    schema = T.StructType([*left.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("released", T.BooleanType())])
+    done, turn = None, 0
+    while True:
+        lanes = max(1, -(-left.count() // lane))
+
+        def run(batches, lanes=lanes, turn=turn):
+            for table in groups.keyed_runs(batches, ["__lane"]):
+                table = table.combine_chunks()
+                keys = table.column("__lane").to_numpy()
+                edge = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+                for s, e in zip(edge[:-1], edge[1:], strict=True):
+                    part = table.slice(s, e - s)
+                    sequence, offset = pack_lane(part.column("length").to_numpy(), capacity)
+                    released = (sequence == sequence.max()) & (lanes > 1)
+                    number = (turn << 58) + (int(keys[s]) << 22) + sequence
+                    made = pa.Table.from_arrays([*[part.column(n) for n in names], pa.array(number), pa.array(offset), pa.array(released)], names=schema.names)
+                    yield from made.to_batches(max_chunksize=4096)
+
+        # numbers of rows of a written table: rows that are alike in all columns are dealt out too
+        dealt = left.withColumn("__lane", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lanes)))
+        packed = shared.cut(dealt.repartition("__lane").sortWithinPartitions("__lane").mapInArrow(run, schema))
+        settled = packed.where("not released").drop("released")
+        done = settled if done is None else done.unionAll(settled)
+        if lanes == 1:
+            return done
+        left, turn = packed.where("released").select(*names), turn + 1

@@ -8,7 +8,10 @@ a rule that is one class repeated does that by runs of the class's bytes, which
 
 Texts are compared whole, lower-cased (A-Z) for the index, so rules of either case use the same postings. Matches are
 those of the expression, leftmost and non-overlapping for each rule; a match that fails the rule's length test is
-dropped after it has taken its text. Nulls, empty texts: no spans. Spans count code points, the end is exclusive.
+dropped after it has taken its text. Spans count code points, the end is exclusive; those that start together are in the
+order of the rules. Nulls, empty texts: no spans. Long texts are searched whole, in time that grows with their length.
+Repeated rows are searched each. An empty table gives no rows. An input column whose name (in any case) is that of the spans
+is replaced by them.
 """
 
 from __future__ import annotations
@@ -203,9 +206,12 @@ class Scanner:
         texts: dict[int, str] = {}
         for k, (rule, query, own) in enumerate(zip(self.rules, self.queries, self.classes, strict=True)):
             if own is not None:
-                for r, start, end in self.runs(raw, offsets, own, max(1, rule.least)):
-                    before = len(raw[offsets[r] : start].tobytes().decode())
-                    found[r].append((before, k, before + end - start))
+                row, start, end = self.runs(raw, offsets, own, max(1, rule.least))
+                if len(row):  # places in code points: those before the run less those before the text
+                    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                    before = points[start] - points[offsets[row]]
+                    for r, b, e in zip(row.tolist(), before.tolist(), (before + end - start).tolist(), strict=True):
+                        found[r].append((b, k, e))
                 continue
             for r in np.flatnonzero(self.candidates(query, postings)).tolist():
                 if (text := texts.get(r)) is None:
@@ -225,7 +231,7 @@ class Scanner:
         end = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
         long = end - start >= least
         row = np.searchsorted(offsets, start[long], "right") - 1
-        return zip(row.tolist(), start[long].tolist(), end[long].tolist(), strict=True)
+        return row, start[long], end[long]
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

@@ -1,15 +1,20 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A feature is the presence of a character n-gram (bytes of the UTF-8 text, n of ``SIZES``; A-Z lower-cased, all other
-ASCII but letters and digits made spaces, so that n-grams see where words begin), hashed to ``2**BITS`` buckets. Its value is the log of the ratio of the smoothed shares of toxic and of other training documents
-that hold it, counted over all training rows on the executors. A logistic regression on these values is fitted on the
-driver, on at most ``MAX_FIT_ROWS`` training rows of each class (those with the smallest hashes of their ids), weighted
-to the true class sizes: once over all buckets, then again over the ``KEPT`` buckets of largest weight, which make the
-model. Nothing but the text is an input of a score.
-
-Nulls and empty texts: no n-grams, so the intercept alone makes the score. Without training rows of both classes, the
-score is the smoothed share of toxic rows. Labels that are null are ignored; of repeated labels of a document the
-largest counts. Repeated documents are scored each. Texts are scored whole, however long.
+A feature is the presence of a character n-gram (``SIZE`` code points; A-Z lower-cased, all other ASCII but letters and
+digits made spaces, and a space put before and after the text, so that n-grams see where words begin), hashed to ``2**BITS``
+buckets. Its value is the log-count ratio of toxic and other documents that hold it, counted over all training rows on the
+executors: log((n1 + SMOOTHING) / (e1 + SMOOTHING)) - log((n0 + SMOOTHING) / (e0 + SMOOTHING)), where n1 and n0 documents of
+the classes hold it and e1 and e0 would if it told nothing; so a rare n-gram weighs little, and none is left out. A logistic
+regression on these values is fitted on the driver by accelerated gradient descent, on a bounded sample of the labelled
+rows: of each class those of the smallest hashes of their ids, at most ``MAX_FIT_ROWS``, as long as their texts add up to
+``MAX_FIT_BYTES`` or less (texts beyond a sixteenth of that count, but are not in the sample), weighted to the true class
+sizes. Nothing but the text is an input of a score.
+
+Nulls and empty texts: n-grams of spaces at most, so the intercept makes the score. Without training rows of both classes,
+the score is the smoothed share of toxic rows. Labels that are null are ignored; of repeated labels of a document the
+largest counts. Repeated documents are scored each, and count each in training; ties of hashes go to the smaller id. Texts
+are scored whole, however long. Empty tables: no rows, and a model of the share alone. An input column whose name (in any
+case) is that of the score is replaced by it; ``drop_toxic`` returns the documents' own columns.
 """
 
 from __future__ import annotations
@@ -24,18 +29,16 @@ from pyspark.sql import types as T
 
 from lodestone.llm import textbuf
 
-SIZES = (5, 7)
+SIZE = 5
 BITS = 18
-#: Rows of each class on which the regression is fitted, at most.
+#: Rows of each class on which the regression is fitted, at most, and bytes of their texts.
 MAX_FIT_ROWS = 1500
-KEPT = 1000
-#: Training documents that a bucket needs to have a value.
-LEAST_DOCUMENTS = 10
-#: Buckets whose log-count ratio is nearer to 0 tell nothing and are left out.
-LEAST_RATIO = 0.2
-STEPS = 60
+MAX_FIT_BYTES = 8 << 20
+#: Documents by which counts are drawn towards what a feature that tells nothing would have.
+SMOOTHING = 20.0
+STEPS = 150
 #: Weight of the squared coefficients.
-PENALTY = 1e-3
+PENALTY = 1e-4
 
 
 @dataclass
@@ -44,46 +47,33 @@ class Model:
     bias: float
 
 
-def buckets(data: np.ndarray, size: int) -> np.ndarray:
-    """The bucket of the n-gram that begins at each byte; those that begin in the last size - 1 bytes mean nothing."""
-    padded = np.zeros(len(data) + 8, dtype=np.uint8)
-    padded[: len(data)] = data
-    eight = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))).view("<u8").ravel()
-    h = (eight << np.uint64(64 - 8 * size)) * np.uint64(0x9E3779B97F4A7C15 + 2 * size)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    return (h >> np.uint64(64 - BITS)).astype(np.int32)
-
-
-def folded() -> np.ndarray:
-    """Byte to byte: A-Z to a-z, bytes that aren't of words to spaces."""
-    t = textbuf.lower_table()
-    t[~textbuf.word_table()[t]] = 32
-    return t
-
-
-def present(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, bucket) pairs, by row; of the wanted buckets only, if given."""
-    raw, offsets = textbuf.flat(column)
-    data = folded()[raw]
-    row_of = None if wanted is not None else np.repeat(np.arange(len(column)), np.diff(offsets))
-    keys = [np.zeros(0, np.int64)]
-    for size in SIZES:
-        b = buckets(data, size)
-        if wanted is None:
-            key = (row_of << BITS) | b
-            ok = np.ones(len(b), dtype=bool)
-            for back in range(1, size):  # n-grams that would run into the next text
-                ok[np.maximum(offsets[1:] - back, offsets[:-1])[np.diff(offsets) > 0]] = False
-            keys.append(key[ok])
-        else:
-            at = np.flatnonzero(wanted[b])
-            row = np.searchsorted(offsets, at, "right") - 1
-            ok = at + size <= offsets[row + 1]
-            keys.append((row[ok] << BITS) | b[at[ok]])
-    key = np.sort(np.concatenate(keys))
-    if len(key):
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, offsets) of all texts, normalised, with a space before and after each."""
+    data, offsets = textbuf.flat(column)
+    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+    row = np.repeat(np.arange(len(column)), np.diff(lead))
+    out = np.full(len(points) + 2 * len(column), 32, dtype=np.uint64)
+    low = np.minimum(points, 127).astype(np.uint8)
+    folded = textbuf.lower_table()[low]
+    word = textbuf.word_table()[folded] | (points > 127)
+    out[np.arange(len(points)) + 2 * row + 1] = np.where(points > 127, points, np.where(word, folded, 32))
+    return out, lead + 2 * np.arange(len(lead))
+
+
+def present(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, bucket) pairs, by row."""
+    points, offsets = characters(column)
+    n = max(0, len(points) - SIZE + 1)
+    h = np.full(n, SIZE, dtype=np.uint64)
+    for k in range(SIZE):
+        h = (h ^ points[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    bucket = ((h * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS)).astype(np.int64)
+    row = np.repeat(np.arange(len(column)), np.diff(offsets))[:n]
+    inside = np.arange(n) + SIZE <= offsets[row + 1]
+    key = np.sort((row[inside] << BITS) | bucket[inside])
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
@@ -112,83 +102,62 @@ def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return total, held
 
 
-def regress(blocks: list[tuple[np.ndarray, np.ndarray]], value: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by Adam on all rows; blocks: rows and features of the values that aren't 0, in parts."""
+def log_count_ratios(total: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Of each bucket, from the documents of each class and those of them that hold it."""
+    told = np.log(held + SMOOTHING) - np.log(total[:, None] * held.sum(axis=0) / total.sum() + SMOOTHING)
+    return told[1] - told[0]
+
+
+def regress(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of a weighted, penalised logistic regression; row and feature: of the values that aren't 0."""
     n, d = len(label), len(value)
-    v, m, s = np.zeros(d), np.zeros(d), np.zeros(d)
-    share = float((weight * label).sum() / weight.sum())
-    bias = float(np.log(share / (1 - share)))
-    for t in range(1, steps + 1):
-        z, gv, u = np.full(n, bias), PENALTY * v, v * value
-        for row, feature in blocks:
-            z += np.bincount(row, weights=u[feature], minlength=n)
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label) / weight.sum()
-        for row, feature in blocks:
-            gv = gv + np.bincount(feature, weights=g[row], minlength=d) * value
-        m, s = 0.9 * m + 0.1 * gv, 0.99 * s + 0.01 * gv * gv
-        v -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
-        bias -= 0.5 * float(g.sum())
+    weight = weight / weight.sum()
+    share = float((weight * label).sum())
+    forward = lambda v: np.bincount(row, weights=(v * value)[feature], minlength=n)
+    back = lambda g: np.bincount(feature, weights=g[row], minlength=d) * value
+    u, top = value.copy(), 1.0
+    for _ in range(8):  # the steepest curvature, which sets the step
+        u = back(weight * forward(u))
+        top = max(float(np.linalg.norm(u)), 1e-12)
+        u /= top
+    step = 1 / (top / 4 + PENALTY)
+    v, bias = np.zeros(d), float(np.log(share / (1 - share)))
+    ahead, bias_ahead = v, bias
+    for t in range(1, STEPS + 1):
+        g = weight * (1 / (1 + np.exp(-np.clip(forward(ahead) + bias_ahead, -40, 40))) - label)
+        new, bias_new = ahead - step * (back(g) + PENALTY * ahead), bias_ahead - 2 * float(g.sum())
+        k = (t - 1) / (t + 2)
+        ahead, bias_ahead = new + k * (new - v), bias_new + k * (bias_new - bias)
+        v, bias = new, bias_new
     return v, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_fit_rows: int = MAX_FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_fit_rows: int = MAX_FIT_ROWS, max_fit_bytes: int = MAX_FIT_BYTES) -> Model:
     """Learns from the documents that labels names; give only the labels that may be learnt from."""
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("toxic"))
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total, held = class_counts(texts.join(marks.hint("shuffle_hash"), "id"))
     prior = (total[1] + 1) / (total.sum() + 2)
+    share = Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log(prior / (1 - prior))))
     if not total.all():
-        return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log(prior / (1 - prior))))
-    ratio = np.log((held[1] + 1) / (total[1] + 2)) - np.log((held[0] + 1) / (total[0] + 2))
-    ratio[(held.sum(axis=0) < LEAST_DOCUMENTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
-
-    chosen = None
-    for y in (0, 1):
-        some = marks.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(max_fit_rows)
-        chosen = some if chosen is None else chosen.unionAll(some)
-
-    useful = ratio != 0
-
-    def features(batches):
-        for batch in batches:
-            for part in textbuf.slices(batch, 1):
-                row, b = present(part.column(1), useful)
-                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b[i:j].astype("<i4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["toxic", "b"])
-
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text").select("toxic", "text").mapInArrow(features, "toxic int, b binary").toArrow()
-    rows = list(zip(*(c.to_pylist() for c in rows.columns), strict=True))
-    if not rows:
-        return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log(prior / (1 - prior))))
-    rows.sort()  # the order in which rows arrive doesn't matter
-    y = np.array([r[0] for r in rows], dtype=np.float64)
-    weight = np.where(y > 0, total[1] / max(1, y.sum()), total[0] / max(1, (1 - y).sum()))
-    some = np.flatnonzero(useful)
-    place = np.zeros(1 << BITS, dtype=np.int32)
-    place[some] = np.arange(len(some))
-    blocks = []
-    for at in range(0, len(rows), 256):
-        part = [np.frombuffer(r[1], dtype="<i4") for r in rows[at : at + 256]]
-        blocks.append((np.repeat(np.arange(at, at + len(part), dtype=np.int32), [len(p) for p in part]), place[np.concatenate(part)]))
-    del rows
-    v, _ = regress(blocks, ratio[some], y, weight, STEPS)
-    best = np.sort(np.argsort(-np.abs(v * ratio[some]), kind="stable")[:KEPT])
-    top = some[best]
-    place = np.full(len(some), -1, dtype=np.int32)
-    place[best] = np.arange(len(best))
-    blocks = [(row[on], place[feature[on]]) for row, feature in blocks for on in [place[feature] >= 0]]
-    v, bias = regress(blocks, ratio[top], y, weight, 3 * STEPS)
-    weights = np.zeros(1 << BITS, dtype=np.float32)
-    weights[top] = v * ratio[top]
-    return Model(weights, bias)
+        return share
+    some = [marks.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(max_fit_rows) for y in (0, 1)]
+    sample = texts.join(F.broadcast(some[0].unionAll(some[1])), "id").withColumn("hash", F.xxhash64("id")).withColumn("bytes", F.octet_length("text").cast("long"))
+    sample = sample.where(F.col("bytes") <= max_fit_bytes // 16).withColumn("upto", F.expr("sum(bytes) OVER (PARTITION BY toxic ORDER BY hash, id, text)"))
+    rows = sample.where(F.col("upto") <= max_fit_bytes).orderBy("toxic", "hash", "id", "text").select("toxic", "text").toArrow()
+    y = rows.column("toxic").to_numpy().astype(np.float64)
+    if not 0 < y.sum() < len(y):
+        return share
+    row, feature = present(rows.column("text"))
+    ratio = log_count_ratios(total, held)
+    v, bias = regress(row, feature, ratio, y, np.where(y > 0, total[1] / y.sum(), total[0] / (1 - y).sum()))
+    return Model((v * ratio).astype(np.float32), bias)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", output: str = "score", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all) of docs with the probability of toxicity."""
-    wanted = model.weights != 0
-
     def kernel(column: pa.Array) -> list[pa.Array]:
-        row, b = present(column, wanted)
+        row, b = present(column)
         z = np.bincount(row, weights=model.weights[b].astype(np.float64), minlength=len(column)) + model.bias
         return [pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))]
 

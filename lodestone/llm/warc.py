@@ -10,7 +10,8 @@ when whole; the manifest, cut by checkpoint(), lists those of the attempts that
 tasks leave at most files that no manifest names.
 
 Null html: an empty payload. Null url: no target URI. Null ids: never the record that others refer to, unless they have
-no other: then all are responses. Rows that repeat the smallest id are responses too. No pages: no archives.
+no other: then all are responses. Rows that repeat the smallest id are responses too. A long page closes its archive. No
+pages: no archives, and an empty manifest. Only the three columns named are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 REVISIT_BYTES = 100
 LEVEL = 6
+#: Archives that a task reads, about.
+READ_AT_ONCE = 4
 #: Magic number of the frame that holds the dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -161,7 +164,7 @@ def read_warc(manifest: DataFrame, id_type: T.DataType | None = None) -> DataFra
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=types)
 
-    spread = manifest.select("path").repartition(F.col("path"))
-    out = spread.mapInArrow(run, schema)
+    # so many archives a task; a number that is asked for isn't coalesced
+    out = manifest.select("path").repartition(max(1, -(-manifest.count() // READ_AT_ONCE))).mapInArrow(run, schema)
     kind = id_type or T.StringType()
     return out.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))

@@ -1,5 +1,6 @@
 """Near duplicates, vectors, shards, packing and archives against plain versions."""
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -271,6 +272,44 @@ def test_plan_is_best_fit():
         assert len(used) <= len(bins) * 1.002 + 1
 
 
+def plain_best_fit(lengths, capacity):
+    bins = []  # gaps, sorted
+    n = 0
+    for x in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(bins, x)
+        if k == len(bins):
+            n += 1
+            gap = capacity
+        else:
+            gap = bins.pop(k)
+        if gap > x:
+            bisect.insort(bins, gap - x)
+    return n
+
+
+def test_packing_in_lanes(spark):
+    """Ties, hot lengths and rows that are alike, over two rounds and more: as many sequences as plain best fit needs, or nearly."""
+    path, pattern = queries.tokenizer()
+    rng = random.Random(14)
+    word = [f"word{k} " for k in range(40)]
+    rows = [(1, "the same text")] * 3000 + [(None, None)] * 2000 + [(k, "".join(rng.choice(word) for _ in range(min(700, int(rng.expovariate(1 / 60)))))) for k in range(6000)]
+    out = packing.pack(frame(spark, rows), path, pattern, lane=2048).collect()
+    sequences = defaultdict(list)
+    for r in out:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    lengths = [r["length"] for r in out]
+    assert len(lengths) >= len(rows) and sum(lengths) == sum(len(x) + 1 for x in packing.encoder(path, pattern)([t or "" for _, t in rows]))
+    assert len(sequences) <= plain_best_fit(lengths, 1024) + 1
+    with pytest.raises(ValueError):
+        packing.pack(frame(spark, rows), path, pattern, lane=100)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -317,6 +356,15 @@ def test_archives(spark):
     assert warc.read_warc(empty).count() == 0
 
 
+def test_archives_are_read_by_several_tasks(spark):
+    rows = [(k, "u", f"{k} " + "x" * 2000) for k in range(300)] + [(1000, "u", "é" * 2_000_000)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").repartition(1)
+    manifest = warc.write_warc(pages, shared.new_folder(spark, "warc"), archive_bytes=20_000)
+    read = warc.read_warc(manifest, pages.schema["page_id"].dataType)
+    assert manifest.count() >= 25 and read.rdd.getNumPartitions() >= 7
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in read.collect()} == {i: h for i, _, h in rows}
+
+
 def test_archive_query(spark):
     pages = queries.table(spark, SF, "pages").collect()
     out = {r["page_id"]: r for r in queries.op8_warc(spark, SF).collect()}

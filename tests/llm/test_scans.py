@@ -1,11 +1,13 @@
 """Decontamination, toxicity and secrets against plain versions."""
 
 import hashlib
+import math
 import re
 import time
 import zlib
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -167,6 +169,76 @@ def test_secrets_query(spark):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for k, _, _ in spans) for x in ("assign", "access", "hex")]
 
 
+def test_many_hashes_take_linear_time():
+    lines = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(80_000)]
+    text = "é\n" + "\n".join(lines)  # five megabytes
+    start = time.process_time()
+    spans = spans_of([text])[0]
+    assert time.process_time() - start < 5
+    assert spans == [("hex", 2 + 65 * k, 2 + 65 * k + 64) for k in range(len(lines))]
+
+
+def grams(text):
+    """Distinct n-grams, plainly."""
+    t = " " + "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + " "
+    return {t[k : k + toxicity.SIZE] for k in range(len(t) - toxicity.SIZE + 1)}
+
+
+def bucket_of(gram):
+    """By the module's hash of one n-gram alone."""
+    padded = pa.array([gram])
+    points, _ = toxicity.characters(padded)
+    assert "".join(map(chr, points[1:-1].tolist())) == gram
+    row, bucket = toxicity.present(pa.array([gram * 2]))  # the n-gram first, between others
+    h = toxicity.SIZE
+    for c in gram:
+        h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) % 2**64
+        h ^= h >> 29
+    want = ((h * 0xFF51AFD7ED558CCD) % 2**64) >> (64 - toxicity.BITS)
+    assert want in bucket.tolist()
+    return want
+
+
+def test_counts_and_ratios(spark):
+    """Against plain counts of n-grams: nulls, empty and long texts, repeated rows, characters of several bytes."""
+    texts = [None, "", "a", "Öl über Öl!", "日本語のテキスト日本", "THE the The", "you idiot", "you idiot", "x" * 700_000, "an idiot, again", "𝒳𝒴 𝒵"]
+    label = [0, 1, 0, 1, 0, 1, 1, 1, 0, 1, 0]
+    df = spark.createDataFrame(list(zip(label, texts, strict=True)), "toxic int, text string")
+    total, held = toxicity.class_counts(df)
+    assert total.tolist() == [5, 6]
+    want = {}
+    for y, t in zip(label, texts, strict=True):
+        for b in {bucket_of(g) for g in grams(t)}:
+            want.setdefault(b, [0, 0])[y] += 1
+    assert {int(b): held[:, b].tolist() for b in held.any(axis=0).nonzero()[0]} == want
+    ratio = toxicity.log_count_ratios(total, held)
+    for b, (n0, n1) in want.items():
+        e0, e1 = 5 * (n0 + n1) / 11, 6 * (n0 + n1) / 11
+        assert abs(ratio[b] - (math.log((n1 + 20) / (e1 + 20)) - math.log((n0 + 20) / (e0 + 20)))) < 1e-9
+    assert ratio[bucket_of("idiot")] > 0 and not ratio[held.sum(axis=0) == 0].any()
+
+
+def test_regression_is_at_its_minimum():
+    rng = np.random.default_rng(5)
+    x = rng.random((60, 12)) < 0.4
+    value, label = rng.normal(size=12) * 2, (rng.random(60) < 0.4).astype(float)
+    weight = rng.random(60) + 0.1
+    v, bias = toxicity.regress(*np.nonzero(x), value, label, weight)
+    loss = lambda v, b: (weight * (np.logaddexp(0, x @ (v * value) + b) - label * (x @ (v * value) + b))).sum() / weight.sum() + toxicity.PENALTY * (v @ v) / 2
+    least = loss(v, bias)
+    for _ in range(300):
+        assert loss(v + rng.normal(size=12) * 0.05, bias + rng.normal() * 0.05) > least - 1e-4
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, f"{'bad idiot' if k % 2 else 'kind person'} " * 30) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    for rows, size in ((1500, 8 << 20), (3, 8 << 20), (1500, 6000)):
+        model = toxicity.fit(docs, labels, max_fit_rows=rows, max_fit_bytes=size)
+        out = toxicity.score(docs, model).collect()
+        assert all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in out)
+
+
 def test_toxicity(spark):
     docs = spark.createDataFrame([(i, t, "h", "s", "x") for i, t in ODD], SCHEMA)
     for labels in ([], [(1, 1)], [(1, 1), (4, 0), (5, 1), (5, None), (99, 0)]):
@@ -188,4 +260,5 @@ def test_toxicity_held_out(spark):
     toxic = [i for i in held if labels[i]]
     recall = sum(rows[i]["predicted"] for i in toxic) / len(toxic)
     print("accuracy", right, "recall", recall)
-    assert right > 0.95 and recall > 0.65
+    # 18 in 100 of the documents labelled toxic hold nothing that marks the others (FIXTURES.md), so 0.82 is about the most
+    assert right > 0.965 and recall > 0.78
