@@ -87,8 +87,11 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 
 
 def text_bits(text):
-    """60 bits of the text's SHA-256, a column; nulls are empty texts."""
-    return F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 15), 16, 10).cast("long")
+    """60 bits of the text's SHA-256, a column that is never null; nulls are empty texts.
+
+    As it can't be null, joins of either kind add no filter, so that they can share a shuffle.
+    """
+    return F.coalesce(F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 15), 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
