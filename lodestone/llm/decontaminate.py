@@ -9,12 +9,16 @@ pattern holds move it by all but one word of the pattern. Where the shift is 0,
 bucket of patterns, whose words are compared by hash and then directly, byte by byte. Documents are cut into runs of
 window ends, whose cursors move in step, so that one numpy call serves thousands of cursors.
 
-Patterns go to the executors in blocks of at most ``MAX_PATTERN_BYTES`` of benchmark text; a larger benchmark takes
-several narrow passes over the same rows and no shuffle. Hot passages cost what their words cost: a document's hits are
+Patterns go to the executors in blocks of about ``MAX_PATTERN_BYTES`` of benchmark text; a larger benchmark takes several
+narrow passes without a shuffle, each written to the shared folder before the next block's tables are built, so neither the
+driver nor a task holds more than one block's. Hot passages cost what their words cost: a document's hits are
 one bit a word, and nothing is gathered by pattern.
 
 Nulls, empty texts: no words, no hits. Null items and items without words: no patterns. Repeated rows are each judged.
-Equal windows of several items count for each of these items. An empty benchmark leaves all documents clean.
+Equal windows of several items count for each of these items, which are listed as sorted strings; a repeated item id is one
+item. An empty benchmark leaves all documents clean; no documents, no rows. Texts are searched whole, a long one as a slice
+of its own. An input column whose name (in any case) is that of an output is replaced by it; ``remove_contaminated`` returns
+the documents' own columns.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm import textbuf
+from lodestone.llm import shared, textbuf
 
 WINDOW = 10
 MAX_PATTERN_BYTES = 16 << 20
@@ -180,6 +184,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
                     yield pa.RecordBatch.from_arrays([*part.columns[: len(schema) - 4], *made], names=schema.names)
 
         out = out.mapInArrow(run, schema)
+        if k + 1 < blocks:
+            out = shared.written(out, "searched")
     return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(s.name).alias(f.name) for s, f in zip(state.fields, OUTPUT.fields, strict=True)])
 
 

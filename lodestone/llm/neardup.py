@@ -11,8 +11,9 @@ words' SHA-256) form a class, and classes are linked when the Jaccard similarity
    below LEAST still pass), which gives a spanning forest, not pairs. Each link that was found tells how likely nodes of
    this depth are to find one like it: links of similarity s share one with probability p = 1 - (1 - s**depth)**TREES, so
    that 1 / p of them exist for each that was found. As long as the links found are fewer than ``RECALL`` of the links so
-   estimated, prefixes are shortened by one value, for all trees. Similarities below LEAST count as LEAST, so the search
-   ends at depth 6 at the latest (0.8, 32 trees, 0.9999), and earlier where a corpus's copies are closer.
+   estimated, prefixes are shortened, for all trees, to the depth at which the links known by now would have been found.
+   Similarities below LEAST count as LEAST, so the search ends at depth 6 at the latest (0.8, 32 trees, 0.9999), and
+   earlier where a corpus's copies are closer.
 3. Components of these forests hold all candidates. Their texts are fetched once, and within a component the exact
    similarities come from posting lists of the whole shingle sets (by 64-bit hashes of bases drawn for each run): each
    class gets its number of links, and each component a spanning forest of verified links, whose components are the result.
@@ -191,8 +192,8 @@ def node_links(reps: DataFrame, joined: DataFrame | None, depth: int, least: flo
 
 def candidate_components(reps: DataFrame, least: float, recall: float, block: int) -> DataFrame:
     """(id, component) of all classes that may have links, from prefixes shortened until the target recall."""
-    links, joined, equal = None, None, {}
-    for depth in range(DEPTH, 0, -1):
+    links, joined, equal, depth = None, None, {}, DEPTH
+    while True:
         more = shared.cut(node_links(reps, joined, depth, least, block))
         counts = {r["equal"]: r["count"] for r in more.groupBy("equal").count().collect()}  # TREES * DEPTH rows at most
         for e, n in counts.items():
@@ -200,10 +201,12 @@ def candidate_components(reps: DataFrame, least: float, recall: float, block: in
         if counts or links is None:
             links = more if links is None else links.unionAll(more)
             joined = components.connected_components(links)
-        # without links yet, what nodes of this depth would find of the least similar ones
-        if estimated_recall(equal or {round(least * TREES * DEPTH): 1}, depth, least) >= recall:
-            break
-    return joined
+        # without links yet, what nodes would find of the least similar ones
+        known = equal or {round(least * TREES * DEPTH): 1}
+        enough = next((d for d in range(DEPTH, 1, -1) if estimated_recall(known, d, least) >= recall), 1)
+        if enough >= depth:
+            return joined
+        depth = enough
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:

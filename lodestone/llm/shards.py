@@ -13,7 +13,8 @@ bin, 2**16 at most. Slots are numbered within (shard, hash of the id) and offset
 no task numbers a whole shard.
 
 Null text: size 8 (no bytes plus the row's 8), grouped with the empty texts, crc32 0. Repeated rows take a slot each.
-An empty table gives no rows. Fewer groups than shards leave shards empty.
+Long texts are hashed whole. Rows of one id and text tie in any order. An empty table gives no rows. Fewer groups than shards
+leave shards empty. An input column whose name (in any case) is that of an output is replaced by it.
 """
 
 from __future__ import annotations

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: For sessions that name no folder, as in tests.
+#: For sessions of one machine that name no folder, as in tests.
 LOCAL = "/tmp/checkpoints"
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ready for checkpoint()."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder, ready for checkpoint(); a session of several machines must name it in spark.checkpoint.dir."""
+    to = spark.conf.get("spark.checkpoint.dir", None)
+    if not to:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        to = LOCAL
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named or LOCAL)
-    return (named or LOCAL).rstrip("/")
+        spark.sparkContext.setCheckpointDir(to)
+    return to.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -10,7 +10,12 @@ the cell of the lower number. Products are in double precision. Cells of more th
 of blocks, each a task of its own; a task returns each vector's number of links and a spanning forest, not the pairs.
 
 Linked with nothing: null ids, labels or vectors, empty and zero vectors, vectors with null or non-finite components.
-Vectors of different lengths aren't compared. Rows of one id are one node. Empty tables give no rows.
+Vectors of different lengths aren't compared; long ones are compared whole. Rows of one id are one node. Equal vectors of a
+label are linked by their cosine of 1, and the smallest id stands for them. Empty tables give no rows. Only the three columns
+named are read, so other columns' names can't clash.
+
+There are as many cells as vectors ask for up to ``MAX_CELLS`` (what ``MAX_FIT`` vectors can tell apart); beyond about
+``MAX_CELLS * CELL`` vectors of a label cells are cut into more blocks, and the products grow with the square of a cell.
 """
 
 from __future__ import annotations

@@ -52,3 +52,29 @@ def test_stages(spark):
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in pieces} == ok
     assert sum(r["length"] for r in pieces) == sum(len(x) + 1 for x in encode([want[i] for i in sorted(ok)]))
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls, empty and long texts, repeated ids and rows, a column whose name clashes; then empty tables."""
+    line = "a sentence that stands in several documents and is long enough to count"
+    other = " ".join(f"word{k}" for k in range(400))
+    rows = [(1, line), (None, f"{line}\nonly here, in a document without an id"), (None, "nowhere else, also without an id"), (9, other), (9, "another text of the same id"), (9, "another text of the same id"), (12, other + " more"), (3, None), (4, ""), (5, "long " * 200_000 + "end"), (6, "  \n ")]
+    for name, some in (("odd", rows), ("none", [])):
+        sf = str(tmp_path / name)
+        docs = spark.createDataFrame([(i, t, "en", "web", None if t is None else len(t), "x") for i, t in some], "doc_id long, text string, lang string, source string, n_chars int, SCORE string")
+        docs.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        state = spark.read.parquet(f"{sf}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            state = function(spark, state, sf)
+            assert state.columns == docs.columns, stage
+        left = sorted((str(r["doc_id"]), r["text"] or "") for r in state.collect())
+        if not some:
+            assert left == []
+            continue
+        assert ("None", "only here, in a document without an id") in left and ("None", "nowhere else, also without an id") in left
+        assert ("9", other) in left and left.count(("9", "another text of the same id")) == 2 and ("12", other + " more") not in left
+        assert ("1", line) in left and ("3", "") in left and ("4", "") in left and ("6", "  \n ") in left
+        pieces = corpus_pipeline.run(spark, sf).collect()
+        assert {str(r["doc_id"]) for r in pieces} == {i for i, _ in left}
