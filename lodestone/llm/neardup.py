@@ -6,12 +6,13 @@ words' SHA-256) form a class, and classes are linked when the Jaccard similarity
 
 1. Signatures: ``TREES`` paths of ``DEPTH`` MinHash values of 8 bits each, a path one 64-bit number; a tree is the prefix
    trie of all paths of one place, and its nodes are the prefixes of the sorted numbers.
-2. Matched prefixes start at the full depth. The classes below a node are compared, but for those that deeper nodes have
-   joined already, by the share of equal values of the whole signatures (``TREES * DEPTH`` values; five standard deviations
-   below LEAST still pass), which gives a spanning forest, not pairs. Each link that was found tells how likely nodes of
+2. Matched prefixes start at the full depth. The classes below a node are compared, as long as nothing has joined them, by
+   the share of equal values of the whole signatures (``TREES * DEPTH`` values; five standard deviations below LEAST still
+   pass), which gives a spanning forest, not pairs. Each link that was found tells how likely nodes of
    this depth are to find one like it: links of similarity s share one with probability p = 1 - (1 - s**depth)**TREES, so
    that 1 / p of them exist for each that was found. As long as the links found are fewer than ``RECALL`` of the links so
-   estimated, prefixes are shortened, for all trees, to the depth at which the links known by now would have been found.
+   estimated, prefixes are shortened, for all trees, to the depth at which the links known by now would have been found,
+   and the nodes of that depth, which hold those of the deeper ones, are compared.
    Similarities below LEAST count as LEAST, so the search ends at depth 6 at the latest (0.8, 32 trees, 0.9999), and
    earlier where a corpus's copies are closer.
 3. Components of these forests hold all candidates. Their texts are fetched once, and within a component the exact
@@ -123,14 +124,11 @@ def sign(column: pa.Array, words: int) -> list[pa.Array]:
     return [pa.array(words_keys(column), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(path.ravel()))]
 
 
-def join_node(sig: np.ndarray, component: np.ndarray, least_equal: int) -> tuple[list[int], list[int], list[int]]:
-    """(member, other, equal values) of a spanning forest of a node's candidates; component: what is joined already."""
-    _, at, root = np.unique(component, return_index=True, return_inverse=True)
-    root = at[root.ravel()]
+def join_node(sig: np.ndarray, least_equal: int) -> tuple[list[int], list[int], list[int]]:
+    """(member, other, equal values) of a spanning forest of a node's candidates."""
+    root = np.arange(len(sig))
     a, b, equal = [], [], []
-    waiting = list(range(len(sig)))
-    while waiting:  # each member meets those that its component doesn't hold yet
-        i = waiting.pop()
+    for i in range(len(sig)):  # each member meets those that its component doesn't hold yet
         apart = np.flatnonzero(root != root[i])
         if not len(apart):
             break
@@ -150,17 +148,12 @@ LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 NODE = ["tree", "prefix", "lo", "hi"]
 
 
-def node_links(reps: DataFrame, joined: DataFrame | None, depth: int, least: float, block: int) -> DataFrame:
-    """Links between classes below the nodes of this depth; reps: cid, paths; joined: id, component of what is joined."""
+def node_links(reps: DataFrame, depth: int, least: float, block: int) -> DataFrame:
+    """Links between classes below the nodes of this depth; reps: cid, paths."""
     paths = reps.select("cid", F.posexplode("paths").alias("tree", "path")).select("cid", "tree", F.shiftrightunsigned("path", 8 * (DEPTH - depth)).alias("prefix"))
-    if joined is not None:
-        paths = paths.join(joined.select(F.col("id").alias("cid"), "component"), "cid", "left")
-        paths = paths.withColumn("component", F.coalesce("component", "cid"))
-    else:
-        paths = paths.withColumn("component", F.col("cid"))
-    open_nodes = paths.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.min("component").alias("one"), F.max("component").alias("other")).where("one != other").select("tree", "prefix", "size")
-    members = paths.join(open_nodes, ["tree", "prefix"]).join(reps.select("cid", "paths"), "cid")
-    tasks = groups.block_pairs(members, "size", F.xxhash64("cid"), block).select(*NODE, "cid", "component", "paths")
+    nodes = paths.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1")
+    members = paths.join(nodes, ["tree", "prefix"]).join(reps.select("cid", "paths"), "cid")
+    tasks = groups.block_pairs(members, "size", F.xxhash64("cid"), block).select(*NODE, "cid", "paths")
     total = TREES * DEPTH
     least_equal = int(total * least - 5 * (total * least * (1 - least)) ** 0.5)
 
@@ -169,17 +162,16 @@ def node_links(reps: DataFrame, joined: DataFrame | None, depth: int, least: flo
             table = table.combine_chunks()
             sig = table.column("paths").combine_chunks().flatten().to_numpy().astype(">i8").view(np.uint8).reshape(-1, total)
             keys = [table.column(k).to_numpy() for k in NODE]
-            cid, component = table.column("cid").to_numpy(), table.column("component").to_numpy()
+            cid = table.column("cid").to_numpy()
             edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             start, end = np.concatenate([[0], edge]), np.concatenate([edge, [table.num_rows]])
             two = start[end - start == 2]
-            two = two[component[two] != component[two + 1]]
             same = (sig[two] == sig[two + 1]).sum(axis=1)
             near = same >= least_equal
             a, b, equal = [two[near] + 1], [two[near]], [same[near]]
             for s, e in zip(start.tolist(), end.tolist(), strict=True):
                 if e - s > 2:
-                    i, j, n = join_node(sig[s:e], component[s:e], least_equal)
+                    i, j, n = join_node(sig[s:e], least_equal)
                     a.append(np.array(i, dtype=np.int64) + s)
                     b.append(np.array(j, dtype=np.int64) + s)
                     equal.append(np.array(n, dtype=np.int64))
@@ -192,20 +184,15 @@ def node_links(reps: DataFrame, joined: DataFrame | None, depth: int, least: flo
 
 def candidate_components(reps: DataFrame, least: float, recall: float, block: int) -> DataFrame:
     """(id, component) of all classes that may have links, from prefixes shortened until the target recall."""
-    links, joined, equal, depth = None, None, {}, DEPTH
+    depth = DEPTH
     while True:
-        more = shared.cut(node_links(reps, joined, depth, least, block))
-        counts = {r["equal"]: r["count"] for r in more.groupBy("equal").count().collect()}  # TREES * DEPTH rows at most
-        for e, n in counts.items():
-            equal[e] = equal.get(e, 0) + n
-        if counts or links is None:
-            links = more if links is None else links.unionAll(more)
-            joined = components.connected_components(links)
+        links = shared.cut(node_links(reps, depth, least, block))
+        equal = {r["equal"]: r["count"] for r in links.groupBy("equal").count().collect()}  # TREES * DEPTH rows at most
         # without links yet, what nodes would find of the least similar ones
-        known = equal or {round(least * TREES * DEPTH): 1}
-        enough = next((d for d in range(DEPTH, 1, -1) if estimated_recall(known, d, least) >= recall), 1)
+        equal = equal or {round(least * TREES * DEPTH): 1}
+        enough = next((d for d in range(DEPTH, 1, -1) if estimated_recall(equal, d, least) >= recall), 1)
         if enough >= depth:
-            return joined
+            return components.connected_components(links)
         depth = enough
 
 
