@@ -148,7 +148,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     y = rows.column("toxic").to_numpy().astype(np.float64)
     if not 0 < y.sum() < len(y):
         return share
-    row, feature = present(rows.column("text"))
+    parts, at = [], 0
+    for batch in rows.to_batches():
+        for part in textbuf.slices(batch, 1):  # the n-grams of a slice at a time
+            row, feature = present(part.column(1))
+            parts.append((row.astype(np.int32) + at, feature.astype(np.int32)))
+            at += part.num_rows
+    row, feature = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     ratio = log_count_ratios(total, held)
     v, bias = regress(row, feature, ratio, y, np.where(y > 0, total[1] / y.sum(), total[0] / (1 - y).sum()))
     return Model((v * ratio).astype(np.float32), bias)
