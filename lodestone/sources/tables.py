@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import os
+import re
 import shutil
 import uuid
 from datetime import datetime, timezone
@@ -21,8 +22,12 @@ EXPERIMENT_COLUMNS = ["experiment_id", "timestamp_utc", "git_commit", "blocking_
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new path in the folder that driver and executors share; a session of several machines must name it in spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -42,9 +47,8 @@ def read_strict(spark: SparkSession, path: str, columns: list[str], max_rows: in
     header = header_of(spark, path)
     if missing := [c for c in columns if c not in header]:
         raise KeyError(f"{path}: no column {', '.join(missing)}")
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").csv(path, sep="\t", header=True, quote='"', escape='"')
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").option("columnPruning", "false").csv(path, sep="\t", header=True, quote='"', escape='"')
     out = rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
     return out if max_rows is None else out.limit(max_rows)
 
