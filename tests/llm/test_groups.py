@@ -45,14 +45,18 @@ def plain_near(rows, least=0.8, n=5):
     return [count[k] for k in range(len(rows))], plain_components([r[0] for r in rows], [(rows[i][0], rows[j][0]) for i, j in links])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [4, 150, 1 << 19])
+def test_components(spark, most):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(200)] + [(500, i) for i in range(501, 600)] + [(7, 7)]
-    out = dict(components.connected_components(spark.createDataFrame(links, "a long, b long")).collect())
+    some = [*links, links[0], (None, 3), (4, None)]
+    out = dict(components.connected_components(spark.createDataFrame(some, "a long, b long").repartition(5), most=most).collect())
     ids = {x for p in links for x in p if p[0] != p[1]}
     want = plain_components(sorted(ids), links)
     assert out == {i: want[i] for i in ids}
-    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    named = spark.createDataFrame([(f"é{a:04}", f"é{b:04}") for a, b in links], "a string, b string")
+    assert dict(components.connected_components(named, most=most).collect()) == {f"é{i:04}": f"é{want[i]:04}" for i in ids}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), most=most).count() == 0
 
 
 @pytest.mark.parametrize("block", [2048, 8])
