@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import records
+from lodestone.sources import shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +32,13 @@ def entity_records(documents: DataFrame) -> DataFrame:
 
 @dataclass
 class Entities:
-    """Normalised records and the truth of one data set."""
+    """Normalised records and the truth of one data set; the records are written once, so that plans read them narrow."""
 
     records: DataFrame
 
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str) -> Entities:
-        return cls(records.normalize_records(entity_records(table(spark, sf_dir, "documents")), unicode=None))
+        return cls(shared.written(records.normalize_records(entity_records(table(spark, sf_dir, "documents")), unicode=True), "records", ["src"]))
 
     @property
     def s1(self) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import blocking, evaluate, features, matcher, records, sampling
-from lodestone.sources import tables
+from lodestone.sources import shared, tables
 
 
 def load_source(spark: SparkSession, path: str, number: int, max_rows: int | None = None) -> DataFrame:
@@ -16,12 +16,12 @@ def load_source(spark: SparkSession, path: str, number: int, max_rows: int | Non
 
 
 def load_sources(spark: SparkSession, paths: list[str], max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Normalised (S1, noisy sources)."""
+    """Normalised (S1, noisy sources), each written once to the shared folder."""
     loaded = [load_source(spark, p, k + 1, max_rows) for k, p in enumerate(paths)]
     noisy = loaded[1]
     for more in loaded[2:]:
         noisy = noisy.unionByName(more)
-    return records.normalize_records(loaded[0], unicode=True), records.normalize_records(noisy, unicode=True)
+    return shared.written(records.normalize_records(loaded[0], unicode=True), "s1"), shared.written(records.normalize_records(noisy, unicode=True), "noisy")
 
 
 def labelled_candidates(s1: DataFrame, noisy: DataFrame, truth: DataFrame, top_k: int, most: int) -> DataFrame:
