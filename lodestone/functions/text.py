@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,13 +40,14 @@ def normalize_text(c: Column, unicode: bool = True) -> Column:
     return F.trim(F.regexp_replace(fold(F.coalesce(c, F.lit("")), unicode), r"[^\p{L}\p{N}_]+", " "))
 
 
+def beyond_native(*columns: str) -> Column:
+    """Whether any of the columns needs the Python path; never null."""
+    return reduce(lambda a, b: a | b, [~F.coalesce(F.col(c), F.lit("")).rlike(SAFE) for c in columns])
+
+
 def needs_unicode(df: DataFrame, *columns: str) -> bool:
     """Whether any value needs the Python path: one native scan, over when the first is found."""
-    test = None
-    for c in columns:
-        t = ~F.coalesce(F.col(c), F.lit("")).rlike(SAFE)
-        test = t if test is None else test | t
-    return bool(df.where(test).limit(1).count())
+    return bool(df.where(beyond_native(*columns)).limit(1).count())
 
 
 def all_tokens(c: Column) -> Column:

@@ -11,14 +11,23 @@ from lodestone.functions import text
 def normalize_records(records: DataFrame, unicode: bool | None = None) -> DataFrame:
     """Adds nn, na (normalised name and address), nt, at (their token sets), tok1, tok2; texts null -> ''.
 
-    unicode: whether to provide for characters that need Python; None looks whether there are any.
+    unicode: whether to provide for characters that need Python: rows that hold any are a branch of their own, so no other
+    row leaves the JVM; a stream, which two branches would read twice, sends the other rows along as nulls. None looks
+    whether there are any.
     """
+    texts = ("business_name", "business_address")
     r = records
-    for c in ("business_name", "business_address", "country"):
+    for c in (*texts, "country"):
         r = r.withColumn(c, F.coalesce(c, F.lit("")))
     if unicode is None:
-        unicode = text.needs_unicode(r, "business_name", "business_address")
-    r = r.withColumn("country", F.trim("country")).withColumn("nn", text.normalize_text(F.col("business_name"), unicode)).withColumn("na", text.normalize_text(F.col("business_address"), unicode))
+        unicode = text.needs_unicode(r, *texts)
+    r = r.withColumn("country", F.trim("country"))
+    normal = lambda df, python: df.withColumn("nn", text.normalize_text(F.col("business_name"), python)).withColumn("na", text.normalize_text(F.col("business_address"), python))
+    if unicode and not r.isStreaming:
+        beyond = text.beyond_native(*texts)
+        r = normal(r.where(~beyond), False).unionByName(normal(r.where(beyond), True))
+    else:
+        r = normal(r, bool(unicode))
     return r.withColumn("nt", text.tokens(F.col("nn"))).withColumn("at", text.tokens(F.col("na"))).withColumn("tok1", text.first_token(F.col("nn"))).withColumn("tok2", text.first_two_tokens(F.col("nn")))
 
 

@@ -11,7 +11,7 @@ from lodestone import cli
 from lodestone.functions import similarity, text
 from lodestone.operators import blocking, evaluate, quality, records, sampling
 from lodestone.plans import matching
-from lodestone.sources import tables
+from lodestone.sources import shared, tables
 from lodestone.streaming import candidates as streaming
 
 S1 = [("S1-001", "Acme Corporation", "123 Main Street, Suite 100", "US"), ("S1-002", "Beta Logistics", "456 Market Road", "US"), ("S1-003", "Gamma Enterprises", "789 Industrial Park", "US")]
@@ -46,6 +46,27 @@ def test_normalize(spark):
     assert text.needs_unicode(df, "s") and not text.needs_unicode(df.where("k in (0, 6)"), "s")
 
 
+RECORD = "entity_id string, business_name string, business_address string, country string, src int"
+
+
+def test_every_record_is_normalized_once(spark):
+    rows = [("1", "Café", "Street 1", " US ", 1), ("2", "Ｆｕｌｌ", "plain", None, 2), ("3", "plain", "①②", "DE", 2), ("4", None, None, "", 1), ("2", "Ｆｕｌｌ", "plain", None, 2), (None, "ß", "", "DE", 3)]
+    want = sorted((r[0] or "", python_normalize(r[1]), python_normalize(r[2]), (r[3] or "").strip(), r[4]) for r in rows)
+    for unicode in (None, True):
+        kept = shared.written(records.normalize_records(spark.createDataFrame(rows, RECORD), unicode), "records", ["src"])
+        assert sorted((r["entity_id"] or "", r["nn"], r["na"], r["country"], r["src"]) for r in kept.collect()) == want
+    empty = records.normalize_records(spark.createDataFrame([], RECORD), True)
+    kept = shared.written(empty, "records", ["src"])
+    assert kept.columns == empty.columns and kept.count() == 0
+
+
+def test_records_without_unicode_stay_in_the_jvm(spark):
+    df = records.normalize_records(spark.createDataFrame([("1", "a", "b", "US", 1)], RECORD), True)
+    native, python = df._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")
+    assert "Union" in native and "Filter" in native  # the whole first branch comes before
+    assert "Filter" in python
+
+
 def test_tokens_and_similarities(spark):
     df = spark.createDataFrame([("", ""), ("a", ""), ("b a b", "a b"), ("12 main ٣", "main 12"), ("kitten", "sitting")], "a string, b string")
     a, b = F.col("a"), F.col("b")
