@@ -1,40 +1,15 @@
-"""The folder that the driver and all executors share, and what is kept there."""
+"""The shared folder of the library, and lineage cut there."""
 
 from __future__ import annotations
 
-import re
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from lodestone.sources.shared import folder, new_folder, written
 
-#: For sessions of one machine that name no folder, as in tests.
-LOCAL = "/tmp/checkpoints"
-
-
-def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ready for checkpoint(); a session of several machines must name it in spark.checkpoint.dir."""
-    to = spark.conf.get("spark.checkpoint.dir", None)
-    if not to:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        to = LOCAL
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(to)
-    return to.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["cut", "folder", "new_folder", "written"]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read from the shared folder from then on."""
     folder(df.sparkSession)
     return df.checkpoint()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and kept as a compressed table in the shared folder."""
-    to = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(to)
-    return df.sparkSession.read.schema(df.schema).parquet(to)
