@@ -200,3 +200,16 @@ def test_registry(spark):
     new = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "z")], "experiment_id string, notes string")
     kept, rejected = tables.append_experiments(none, new, now="T")
     assert sorted((r["experiment_id"], r["notes"], r["timestamp_utc"]) for r in kept.collect()) == [("a", "x", "T"), ("b", "y", "T")] and rejected.count() == 1
+
+
+@pytest.mark.parametrize("name", ["e", "c_and_e", "agce", "ag_n_rare_e_rare"])
+def test_pairs_are_not_shuffled(spark, name):
+    """Each pair is given once without a shuffle of pairs; rows of one id still make one pair."""
+    schema = "entity_id string, business_name string, business_address string, country string, src int"
+    s1, noisy = (records.normalize_records(spark.createDataFrame([(*r, k) for r in rows], schema), unicode=False) for k, rows in ((1, S1), (2, S2 + S3)))
+    pairs = blocking.pairs_of(name, s1, noisy)
+    assert "hashpartitioning(s1_id" not in pairs._jdf.queryExecution().executedPlan().toString()
+    once = sorted(map(tuple, pairs.collect()))
+    twice = sorted(map(tuple, blocking.pairs_of(name, s1.unionByName(s1), noisy.unionByName(noisy)).collect()))
+    assert len(once) == len(set(once))
+    assert twice == once or name == "c_and_e" and sorted(set(twice)) == once
