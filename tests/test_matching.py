@@ -1,5 +1,6 @@
 """Functions, sources, metrics and plans on small tables."""
 
+import glob
 import json
 import os
 import unicodedata
@@ -213,3 +214,31 @@ def test_pairs_are_not_shuffled(spark, name):
     twice = sorted(map(tuple, blocking.pairs_of(name, s1.unionByName(s1), noisy.unionByName(noisy)).collect()))
     assert len(once) == len(set(once))
     assert twice == once or name == "c_and_e" and sorted(set(twice)) == once
+
+
+def test_pair_counts_and_first_pairs(spark):
+    """Counts from keys and conditions, and the first pairs from the first S1 ids, as from all pairs."""
+    schema = "entity_id string, business_name string, business_address string, country string, src int"
+    s1, noisy = (records.normalize_records(spark.createDataFrame([(*r, k) for r in rows], schema), unicode=False) for k, rows in ((1, S1), (2, S2 + S3)))
+    truth = spark.createDataFrame([("S1-001", "S2-101"), ("S1-001", "S3-201"), ("S1-002", "S2-102")], "s1_id string, noisy_id string")
+    names = ["a", "c", "a_union_g", "ag_e_rare"]
+    counted = blocking.pair_counts(names, s1, noisy, truth)
+    got = {r["rule"]: (r["pairs"], r["hits"]) for r in counted.collect()}
+    true = {tuple(r) for r in truth.collect()}
+    for n in names:
+        pairs = {tuple(r) for r in blocking.pairs_of(n, s1, noisy).collect()}
+        assert got[n] == (len(pairs), len(pairs & true)), n
+    every = sorted(tuple(r) for r in blocking.rule("e", s1, noisy).collect())
+    assert [tuple(r) for r in blocking.first_pairs("e", s1, noisy, 2, truth.limit(0)).collect()] == every[:2]
+    labels = {(r["s1_id"], r["noisy_id"]): r["label"] for r in blocking.labelled_hits("c", s1, noisy, truth).collect()}
+    assert labels and all(v == int(k in true) for k, v in labels.items())
+
+
+def test_balanced_sorts_few_rows(spark):
+    """The rows of the smallest buckets, of which only about as many as wanted are written for sorting."""
+    df = spark.range(40_000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 4 == 0).cast("int").alias("label"))
+    before = set(glob.glob(shared.folder(spark) + "/sample-*"))
+    got = {r["key"] for r in sampling.balanced(df, "key", 400).collect()}
+    want = {r["key"] for k in (0, 1) for r in df.where(F.col("label") == k).orderBy(sampling.bucket(F.col("key")), "key").limit(200).collect()}
+    (written,) = set(glob.glob(shared.folder(spark) + "/sample-*")) - before
+    assert got == want and 400 <= spark.read.parquet(written).count() < 1200
