@@ -242,3 +242,34 @@ def test_balanced_sorts_few_rows(spark):
     want = {r["key"] for k in (0, 1) for r in df.where(F.col("label") == k).orderBy(sampling.bucket(F.col("key")), "key").limit(200).collect()}
     (written,) = set(glob.glob(shared.folder(spark) + "/sample-*")) - before
     assert got == want and 400 <= spark.read.parquet(written).count() < 1200
+
+
+def _named(spark, side, names):
+    schema = "entity_id string, business_name string, business_address string, country string, src int"
+    rows = [(f"S{side}-{k}", n, f"{k} Road" if k % 3 else "Old Road", "US" if k % 5 else "DE", side) for k, n in enumerate(names)]
+    return records.normalize_records(spark.createDataFrame(rows, schema), unicode=False)
+
+
+def _approximate(a, b, top_n, least):
+    """By definition: (s1_id, noisy_id, Jaccard, rank) of ids and names."""
+    grams = lambda t: {f"^{t}$"[i : i + 3] for i in range(len(t))}
+    out = set()
+    for other, t in b:
+        scored = [(len(grams(t) & grams(x)) / len(grams(t) | grams(x)), k) for k, x in a if t and x]
+        best = sorted((-v, k) for v, k in scored if v >= least)[:top_n]
+        out |= {(k, other, -v, place) for place, (v, k) in enumerate(best, 1)}
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 16, 16])
+def test_approximate_names_compare_distinct_names_once(spark, monkeypatch, block):
+    """Copies and ties as by definition, with one block and with several; pairs aren't shuffled to count their trigrams."""
+    monkeypatch.setattr(blocking, "NAMES_BLOCK", block)
+    words = ["acme", "acne", "beta", "betas", "gamma", "é", "x", "müller"]
+    names = ["", "Acme", *[f"{words[k * k % 8]} {words[k % 7]}" for k in range(90)], *["beta gamma"] * 9]
+    s1, noisy = _named(spark, 1, names), _named(spark, 2, names[::-1] + ["zzz", "acme beta x"])
+    pairs = blocking.approximate_names(s1, noisy, 5)
+    assert "hashpartitioning(s1_id" not in pairs._jdf.queryExecution().executedPlan().toString()
+    sides = [[tuple(r) for r in df.select("entity_id", "nn").collect()] for df in (s1, noisy)]
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == _approximate(*sides, 5, 0.15)
