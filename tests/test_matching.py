@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone import cli
 from lodestone.functions import similarity, text
 from lodestone.operators import blocking, evaluate, quality, records, sampling
-from lodestone.plans import matching
+from lodestone.plans import fixtures, matching
 from lodestone.sources import shared, tables
 from lodestone.streaming import candidates as streaming
 
@@ -273,3 +273,38 @@ def test_approximate_names_compare_distinct_names_once(spark, monkeypatch, block
     sides = [[tuple(r) for r in df.select("entity_id", "nn").collect()] for df in (s1, noisy)]
     got = [tuple(r) for r in pairs.collect()]
     assert len(got) == len(set(got)) and set(got) == _approximate(*sides, 5, 0.15)
+
+
+@pytest.mark.parametrize("name", ["c", "g_and_e", "ag_union_ge", "ag_union_ce", "ag_ce_rare", "ag_e_rare", "ag_n_rare_e_rare", "c_union_e"])
+def test_hot_keys_meet_in_blocks(spark, monkeypatch, name):
+    """The rows of a key of many pairs go to many tasks, and every pair comes once."""
+    words = ["acme", "beta", "gamma"]
+    s1, noisy = (_named(spark, side, [f"{words[k % 2]} {words[k % 3]}" for k in range(n)] + ["", "alone here"]) for side, n in ((1, 40), (2, 50)))
+    whole = sorted(tuple(r) for r in blocking.pairs_of(name, s1, noisy, 30).collect())
+    monkeypatch.setattr(blocking, "HOT", 4)
+    asked, hit_rows = [], blocking.hit_rows
+    monkeypatch.setattr(blocking, "hit_rows", lambda rule, *rest: asked.append(rule) or hit_rows(rule, *rest))
+    pairs = blocking.pairs_of(name, s1, noisy, 30)
+    split = sorted(tuple(r) for r in pairs.collect())
+    assert len(whole) > 200 and len(whole) == len(set(whole)) and split == whole
+    assert "__ai" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert name != "ag_union_ge" or asked == ["a", "g"]  # g_and_e adds nothing to g
+
+
+def test_keyed_tokens_take_the_fewer_pairs(spark, monkeypatch):
+    """Rows of one key that share all tokens meet once by the key, not once for each token."""
+    monkeypatch.setattr(blocking, "HOT", 4)
+    schema = "entity_id string, business_name string, business_address string, country string, src int"
+    s1, noisy = (records.normalize_records(spark.createDataFrame([(f"S{side}-{k}", "acme beta", "1 long old road", "US", side) for k in range(12)], schema), unicode=False) for side in (1, 2))
+    pairs = blocking.pairs_of("g_and_e", s1, noisy)
+    assert pairs.count() == 144 and "posexplode" not in pairs._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_words_beyond_the_eighth_are_not_split(spark):
+    """The entity records of texts with any white space around, and of many words, as of whole splits."""
+    texts = ["", " ", None, "a", " a b", "a b c d e f g h", " a  b c\td e f g h ", "a b c d e f g h i j k", " a b c d e f g h i j", "a b\nc d e f g h i "]
+    df = spark.createDataFrame([(4 * k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"] // 4: (r["business_name"], r["business_address"]) for r in fixtures.entity_records(df).where("src = 1").collect()}
+    words = [(t or "").split() for t in texts]
+    assert got == {k: (" ".join(w[:3]), f"{4 * k % 997} {' '.join(w[3:8])}") for k, w in enumerate(words)}
+    assert ", 10)" in fixtures.entity_records(df)._jdf.queryExecution().optimizedPlan().toString()
