@@ -308,3 +308,14 @@ def test_words_beyond_the_eighth_are_not_split(spark):
     words = [(t or "").split() for t in texts]
     assert got == {k: (" ".join(w[:3]), f"{4 * k % 997} {' '.join(w[3:8])}") for k, w in enumerate(words)}
     assert ", 10)" in fixtures.entity_records(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_beside_rules(spark, monkeypatch):
+    """The union with approximate names holds every pair once, without a distinct over all pairs."""
+    s1, noisy = _named(spark, 1, ["acme beta", "acme betas", "gamma", "acne beta"] * 5), _named(spark, 2, ["acme beta", "beta acme", "gammas", "zzz"] * 5)
+    both = [blocking.pairs_of("ag_e_rare", s1, noisy, 4), blocking.approximate_names(s1, noisy).select(*blocking.PAIR)]
+    want = {tuple(r) for df in both for r in df.collect()}
+    twice = blocking.with_names("ag_e_rare", s1.unionByName(s1), noisy, 4).count()
+    monkeypatch.setattr(blocking, "union", None)
+    got = [tuple(r) for r in blocking.with_names("ag_e_rare", s1, noisy, 4).collect()]
+    assert len(got) == len(want) == twice and set(got) == want
