@@ -319,3 +319,23 @@ def test_names_beside_rules(spark, monkeypatch):
     monkeypatch.setattr(blocking, "union", None)
     got = [tuple(r) for r in blocking.with_names("ag_e_rare", s1, noisy, 4).collect()]
     assert len(got) == len(want) == twice and set(got) == want
+
+
+def test_bounded_candidates_compare_equal_records_once(spark, monkeypatch):
+    """Copies of records and ties by id as by definition, from one row of each kind of equal records."""
+    names = [["acme beta", "acme beta one", "acme beta two", "gamma"][k % 4] for k in range(48)]
+    schema = "entity_id string, business_name string, business_address string, country string, src int"
+    table = lambda side: records.normalize_records(spark.createDataFrame([(f"S{side}-{k}", n, f"{k % 3} old road", "US", side) for k, n in enumerate(names)], schema), unicode=False)
+    s1, noisy = table(1), table(2)
+    seen, joined = [], blocking.joined
+    monkeypatch.setattr(blocking, "joined", lambda rules, a, b, *rest, **more: seen.append((a.count(), b.count())) or joined(rules, a, b, *rest, **more))
+    got = [(r["s1_id"], r["noisy_id"], r["is_exact"]) for r in blocking.bounded_candidates(s1, noisy, 5, 20).collect()]
+    assert seen == [(12, 12)]  # of 48 rows a side
+    exact = {tuple(r) for r in blocking.rule("a", s1, noisy).collect()}
+    pairs = blocking.any_of(["g", "e_rare"], s1, noisy, 20)
+    scored = records.pair_columns(pairs, s1, noisy, ["country", "tok1", "nt", "at"]).select(*blocking.PAIR, blocking.heuristic_score().alias("score")).collect()
+    want = set()
+    for k in range(len(names)):
+        rows = sorted((-r["score"], r["s1_id"]) for r in scored if r["noisy_id"] == f"S2-{k}" and (r["s1_id"], f"S2-{k}") not in exact)
+        want |= {(i, f"S2-{k}", False) for _, i in rows[:5]}
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want | {(*p, True) for p in exact}
