@@ -3,6 +3,7 @@
 import glob
 import json
 import os
+import time
 import unicodedata
 
 import pytest
@@ -291,6 +292,43 @@ def test_hot_keys_meet_in_blocks(spark, monkeypatch, name):
     assert name != "ag_union_ge" or asked == ["a", "g"]  # g_and_e adds nothing to g
 
 
+def _shuffled(spark) -> int:
+    """The bytes that the session's tasks have shuffled; what is known lags behind a little."""
+    time.sleep(1)
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_dense_rules_meet_without_copies_of_rows(spark, monkeypatch, copies):
+    """Pairs as by the joins, each once, whatever terms and ids are shared or null; rows aren't shuffled once for every block of the other side."""
+    tokens = ["road", "old", "new", "north", "hill", "é"]
+    schema = "entity_id string, business_name string, business_address string, country string, src int"
+    address = lambda k: " ".join([t for i, t in enumerate(tokens) if k * (i + 3) % 7 < 3] + [f"n{k % 41}"]) if k % 17 else ""
+    row = lambda side, k: (f"S{side}-{k}" if k else None, f"acme x{k % 5}" if k % 11 else "", address(k + side), "US" if k % 3 else " " if k % 2 else "DE", side)
+    s1, noisy = (records.normalize_records(spark.createDataFrame([row(side, k) for k in range(n)] * copies, schema), unicode=False) for side, n in ((1, 300), (2, 400)))
+    for name in ("c_union_e", "agce"):
+        monkeypatch.setattr(blocking, "DENSE", 1 << 24)
+        want = sorted((tuple(r) for r in blocking.pairs_of(name, s1, noisy).collect()), key=str)
+        monkeypatch.setattr(blocking, "DENSE", 0)
+        monkeypatch.setattr(blocking, "DENSE_BLOCK", 8192 if name == "agce" else 150)
+        monkeypatch.setattr(blocking, "DENSE_LIST", 50)
+        got = blocking.pairs_of(name, s1, noisy)
+        assert "s1_ids" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want and len(want) > 30_000
+
+
+def test_dense_rules_shuffle_little(spark, monkeypatch):
+    """A token of all rows: what is shuffled stays near the rows themselves, however many blocks they make."""
+    schema = "entity_id string, business_name string, business_address string, country string, src int"
+    s1, noisy = (records.normalize_records(spark.createDataFrame([(f"S{side}-{k}", f"n{k}", f"long old road {k % 97}", "US", side) for k in range(1500)], schema), unicode=False) for side in (1, 2))
+    monkeypatch.setattr(blocking, "HOT", 64)
+    monkeypatch.setattr(blocking, "DENSE", 1 << 20, raising=False)
+    monkeypatch.setattr(blocking, "DENSE_BLOCK", 400, raising=False)
+    before = _shuffled(spark)
+    assert blocking.pairs_of("c_union_e", s1, noisy).select(F.hash("s1_id", "noisy_id").alias("h")).agg(F.count("h")).first()[0] == 1500 * 1500
+    assert 0 < _shuffled(spark) - before < 400_000
+
+
 def test_keyed_tokens_take_the_fewer_pairs(spark, monkeypatch):
     """Rows of one key that share all tokens meet once by the key, not once for each token."""
     monkeypatch.setattr(blocking, "HOT", 4)
