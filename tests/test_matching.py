@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone import cli
 from lodestone.functions import similarity, text
-from lodestone.operators import blocking, evaluate, quality, records, sampling
+from lodestone.operators import blocking, evaluate, features, linking, matcher, quality, records, sampling
 from lodestone.plans import fixtures, matching
 from lodestone.sources import shared, tables
 from lodestone.streaming import candidates as streaming
@@ -377,3 +377,32 @@ def test_bounded_candidates_compare_equal_records_once(spark, monkeypatch):
         rows = sorted((-r["score"], r["s1_id"]) for r in scored if r["noisy_id"] == f"S2-{k}" and (r["s1_id"], f"S2-{k}") not in exact)
         want |= {(i, f"S2-{k}", False) for _, i in rows[:5]}
     assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want | {(*p, True) for p in exact}
+
+
+def test_exact_names_are_scored_by_kind(spark, monkeypatch):
+    """Training pairs, scores and lists as from a table of all candidates; equal records are scored once, whole or in parts."""
+    monkeypatch.setattr(linking, "MEMBERS", 3)
+    names = [["Acme Beta", " acme beta", "acme beta two", "gamma", ""][k % 5] for k in range(60)]
+    schema = "entity_id string, business_name string, business_address string, country string, src int"
+    table = lambda side: records.normalize_records(spark.createDataFrame([(f"S{side}-{k}" if k else None, n, f"{k % 2} old road", "US" if k % 7 else "", side + (side == 2 and k % 2)) for k, n in enumerate(names)], schema), unicode=False)
+    s1, noisy = table(1), table(2)
+    truth = spark.createDataFrame([(f"S1-{k}", f"S2-{k + d}") for k in range(1, 50) for d in (0, 5, 6)[: k % 4]], "s1_id string, noisy_id string")
+    pairs = blocking.bounded_candidates(s1, noisy, 5, 20).select(*blocking.PAIR)
+    marked = pairs.join(truth.withColumn("t", F.lit(1)), blocking.PAIR, "left").withColumn("label", F.coalesce("t", F.lit(0))).drop("t").join(noisy.select(F.col("entity_id").alias("noisy_id"), "src"), "noisy_id").where("s1_id is not null")
+    others = blocking.bounded_others(s1, noisy, 5, 20, ["src"])
+    known = linking.with_truth(s1, truth)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    hard = rows(sampling.hard_negatives(marked, 4).select(*blocking.PAIR, "src", "label"))
+    assert rows(linking.training_pairs(known, noisy, others, 4)) == hard and 0 < sum(r[3] for r in hard) < len(hard) < marked.count() / 2
+    vectors = features.with_features(records.pair_columns(marked.select(*blocking.PAIR, "label"), s1, noisy, features.RECORD))
+    model = matcher.fit_gbt(vectors, 5)
+    scored = matcher.score_gbt(vectors, model).select(*blocking.PAIR, "label", F.round("score", 9))
+    got = linking.labelled_scores(known, noisy, others, model)
+    assert "hashpartitioning(s1_id" not in linking.exact_scores(linking.kinds(known, "a", "s1_id"), linking.kinds(noisy, "b", "noisy_id"), model)._jdf.queryExecution().executedPlan().toString()
+    assert rows(got.withColumn("score", F.round("score", 9))) == rows(scored)
+    middle = scored.approxQuantile("round(score, 9)", [0.7], 0)[0]
+    lists = tables.grouped_lists(s1.select(F.col("entity_id").alias("s1_id")), matcher.score_gbt(vectors, model).where(F.col("score") >= middle - 1e-9), "matched_entity_ids")
+    want = sorted(((r[0] or "", r[1]) for r in lists.collect()))
+    assert sorted(((r[0] or "", r[1]) for r in linking.match_lists(s1, noisy, others, model, middle - 1e-9).collect())) == want and len({r[1] for r in want}) > 5
+    parts = linking.kinds(noisy, "b", "noisy_id").select(F.size("b_members")).collect()
+    assert max(r[0] for r in parts) == 3 and sum(r[0] for r in parts) == 59
