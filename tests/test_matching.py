@@ -406,3 +406,17 @@ def test_exact_names_are_scored_by_kind(spark, monkeypatch):
     assert sorted(((r[0] or "", r[1]) for r in linking.match_lists(s1, noisy, others, model, middle - 1e-9).collect())) == want and len({r[1] for r in want}) > 5
     parts = linking.kinds(noisy, "b", "noisy_id").select(F.size("b_members")).collect()
     assert max(r[0] for r in parts) == 3 and sum(r[0] for r in parts) == 59
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_rule_e_alone_meets_in_blocks_if_dense(spark, monkeypatch, copies):
+    """Pairs as by the join on tokens, each once, without a join on tokens."""
+    schema = "entity_id string, business_name string, business_address string, country string, src int"
+    row = lambda side, k: (f"S{side}-{k}", f"n{k}", f"{k % 7} old{k % 3} road{k % 5}" if k % 9 else "", "US", side)
+    s1, noisy = (records.normalize_records(spark.createDataFrame([row(side, k) for k in range(n)] * copies, schema), unicode=False) for side, n in ((1, 60), (2, 80)))
+    want = sorted(tuple(r) for r in blocking.rule("e", s1, noisy).collect())
+    monkeypatch.setattr(blocking, "DENSE", 0)
+    got = blocking.rule("e", s1, noisy)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "s1_ids" in plan and "__token" not in plan
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) == len(set(want)) > 1000
